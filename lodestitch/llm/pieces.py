@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
-import heapq
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +18,9 @@ from pyspark.sql import functions as F
 from .common import chunks
 
 SPACE = "▁"
-#: A unit that no piece reaches beyond: a run of blanks and what follows up to the next blank or line end, or a line end.
-UNIT = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
+MASK64 = 0xFFFFFFFFFFFFFFFF
+#: Marks before which a unit ends after a letter, where the model has no piece of a letter and then that mark.
+MARKS = ".,;:!?"
 #: Units that a worker remembers for each variant.
 REMEMBERED = 60_000
 
@@ -50,49 +53,46 @@ class DropoutEncoder:
             self.text[i] = p.replace(SPACE, " ").encode()
         for b, i in enumerate(self.byte):
             self.text[i] = bytes([b])
+        safe = "".join(m for m in MARKS if not any(x.isalpha() for p in self.id for x, y in zip(p, p[1:]) if y == m))
+        #: A unit, which no piece reaches beyond: a run of blanks with what follows up to the next blank, line end or safe mark.
+        ends = f"{SPACE}*[^{SPACE}\n{safe}]*[^\\W\\d_](?=[{safe}])|" if safe else ""
+        self.units = re.compile(f"\n|{ends}{SPACE}*[^{SPACE}\n]+|{SPACE}+").findall
         self.dropout, self.variants = dropout, variants if dropout else 1
         self.limit = int(dropout * (1 << 32))
-        self.keys = [hashlib.blake2b(f"{seed}|{v}".encode(), digest_size=16).digest() for v in range(self.variants)]
+        self.keys = [zlib.crc32(f"{seed}|{v}".encode()) for v in range(self.variants)]
         self.known: list[dict[str, np.ndarray]] = [{} for _ in self.keys]
 
-    def skipped(self, variant: int, unit: bytes, place: int, length: int) -> bool:
-        if not self.limit:
-            return False
-        x = zlib.crc32(unit, zlib.crc32(self.keys[variant]))
-        x = (x * 0x9E3779B97F4A7C15 + place * 0xBF58476D1CE4E5B9 + length * 0x94D049BB133111EB + 1) & 0xFFFFFFFFFFFFFFFF
-        x = ((x ^ (x >> 31)) * 0xD6E8FEB86659FD93) & 0xFFFFFFFFFFFFFFFF
-        return (x >> 32) < self.limit
-
     def segment(self, unit: str, variant: int) -> list[str]:
-        parts, rank = list(unit), self.rank
+        parts, rank, limit = list(unit), self.rank.get, self.limit
         n = len(parts)
         if n == 1:
             return parts
+        key = zlib.crc32(unit.encode("utf-8", "surrogatepass"), self.keys[variant]) * 0x9E3779B97F4A7C15
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        raw = unit.encode("utf-8", "surrogatepass")
-        agenda = []
-
-        def offer(i: int, j: int) -> None:
-            both = parts[i] + parts[j]
-            if (r := rank.get(both)) is not None:
-                agenda.append((r, i, len(both)))
-
-        for i in range(n - 1):
-            offer(i, i + 1)
-        heapq.heapify(agenda)
+        agenda = [(r, i, 2) for i, both in enumerate(map(add, parts, parts[1:])) if (r := rank(both)) is not None]
+        heapify(agenda)
         while agenda:
-            _, i, size = heapq.heappop(agenda)
-            j = after[i] if parts[i] else n
-            if not parts[i] or j >= n or len(parts[i]) + len(parts[j]) != size or self.skipped(variant, raw, i, size):
+            _, i, size = heappop(agenda)
+            left = parts[i]
+            j = after[i]
+            if not left or j >= n or len(left) + len(parts[j]) != size:
                 continue
-            parts[i] += parts[j]
+            if limit:
+                x = ((key + i * 0xBF58476D1CE4E5B9 + size * 0x94D049BB133111EB) & MASK64) * 0xD6E8FEB86659FD93 & MASK64
+                if (x ^ (x >> 29)) * 0x9E3779B97F4A7C15 >> 32 & 0xFFFFFFFF < limit:
+                    continue
+            parts[i] = both = left + parts[j]
             parts[j] = ""
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-            for a, b in ((before[i], i), (i, k)):
-                if a >= 0 and b < n and (r := rank.get(both := parts[a] + parts[b])) is not None:
-                    heapq.heappush(agenda, (r, a, len(both)))
+                wide = both + parts[k]
+                if (r := rank(wide)) is not None:
+                    heappush(agenda, (r, i, len(wide)))
+            if (h := before[i]) >= 0:
+                wide = parts[h] + both
+                if (r := rank(wide)) is not None:
+                    heappush(agenda, (r, h, len(wide)))
         return [p for p in parts if p]
 
     def unit_ids(self, unit: str, variant: int) -> bytes:
@@ -106,7 +106,7 @@ class DropoutEncoder:
         if len(known) >= REMEMBERED:
             for k in list(known)[: REMEMBERED // 2]:
                 del known[k]
-        known[unit] = got = np.array(out, np.uint32).tobytes()
+        known[unit] = got = array("I", out).tobytes()
         return got
 
     def encode(self, text: str, salt: int = 0) -> bytes:
@@ -117,7 +117,7 @@ class DropoutEncoder:
         if SPACE in text:  # the mark itself is written as its bytes, so that it isn't taken for a blank
             mark = np.array([self.byte[b] for b in SPACE.encode()], np.uint32).tobytes()
             return mark.join(self._encode(part, salt) for part in text.split(SPACE))
-        units = UNIT.findall(text.replace(" ", SPACE))
+        units = self.units(text.replace(" ", SPACE))
         n = self.variants
         got: list[bytes | None] = [None] * len(units)
         for v in range(n):

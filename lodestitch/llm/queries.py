@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import ann, langid, licenses, line_dedup, neardup_vectors, packing, pieces, secrets
+from . import ann, langid, licenses, line_dedup, neardup_text, neardup_vectors, packing, pieces, secrets, substrings
 
 
 def op1_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(table(spark, sf_dir, "documents"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -25,6 +29,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.digest(table(spark, sf_dir, "documents"))
 
 
+def op6_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup_text.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_piece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(table(spark, sf_dir, "documents"))
 
@@ -45,7 +53,7 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_embedding_neardup, op2_license_scan, op4_best_fit_packing, op5_language_id, op7_piece_dropout, op8_line_dedup, op9_secret_scan, op10_ann,
+        op1_embedding_neardup, op2_license_scan, op3_substring_dedup, op4_best_fit_packing, op5_language_id, op6_minhash_neardup, op7_piece_dropout, op8_line_dedup, op9_secret_scan, op10_ann,
     )
 }
 
