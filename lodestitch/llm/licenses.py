@@ -46,7 +46,8 @@ _BASE_RE = tuple((p.split()[-1].encode(), re.compile(rb"(?<![^ ])" + rb" +".join
 def pieces(notice: str, edits: int) -> list[tuple[str, int]]:
     """The notice's words dealt in edits + 1 runs: (longest word of a run, its place in the notice).
 
-    With at most `edits` edits one run at least is intact, and with it its longest word. Of all ways to deal the words
+    With at most `edits` edits one run at least is intact, and with it its longest word, though maybe not as a word of
+    its own. Of all ways to deal the words
     the one whose shortest seed is longest is taken. A notice needs as many words as runs.
     """
     words = notice.split()
@@ -116,10 +117,8 @@ def scan_chunk(raw: np.ndarray, off: np.ndarray) -> list[tuple[int, list, list]]
     auto, _ = machine()
     for end, (length, uses) in auto.iter(plain.decode("latin-1")):
         at = end - length + 1
-        if (at and plain[at - 1] != 32 and not start[at]) or (end + 1 < n and plain[end + 1] != 32 and not start[end + 1]):
-            continue
         row = int(np.searchsorted(off, at, side="right")) - 1
-        word = int(np.searchsorted(starts, at))
+        word = int(np.searchsorted(starts, at, side="right")) - 1  # a seed may lie inside a word
         for k, place in uses:
             label, words, edits = NOTICES[k]
             before = words[:place].count(" ") + edits + 1

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, components, cut, mix, n_partitions, text_bytes, window_hashes, word_hashes
+from .common import chunks, components, cut, fresh, mix, n_partitions, text_bytes, window_hashes, word_hashes
 
 #: Minwise tokens of a set, independent trees, and the depth at which a tree's nodes are compared.
 TOKENS, TREES, DEPTH = 64, 16, 3
@@ -280,5 +280,6 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85, doc_id:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """`docs` without the documents that a near-duplicate of smaller doc_id stands for; rows with a null doc_id stay."""
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti").select(*docs.columns)
+    name = fresh("gone", docs.columns)
+    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias(name))
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")

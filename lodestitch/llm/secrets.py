@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 #: The base patterns, the lengths their matches need, and the order of kinds at one start.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -46,6 +48,7 @@ should america world high every near add food between own below country plant la
 #: A candidate is a secret from so many nats of log-likelihood ratio a character.
 NATS_A_CHARACTER = 0.55
 RANDOM_STRINGS = 600
+BACKOFF = 5.0
 
 
 def random_sample(spark: SparkSession, n: int = RANDOM_STRINGS) -> DataFrame:
@@ -59,8 +62,9 @@ def random_sample(spark: SparkSession, n: int = RANDOM_STRINGS) -> DataFrame:
 def train(spark: SparkSession, labelled: DataFrame | None = None) -> list[float]:
     """The log-likelihood ratios ln P(b|a, random) - ln P(b|a, ordinary) of all pairs of the alphabet, in its order.
 
-    `labelled` has label (1 random, 0 ordinary) and sample. Counts are smoothed by adding a half. What is collected has
-    a row for each label and pair of the alphabet at most.
+    `labelled` has label (1 random, 0 ordinary) and sample. Each model's pairs are smoothed by its single characters,
+    which weigh as BACKOFF more pairs after each character; those are smoothed by adding a half. What is collected has a
+    row for each label and pair of the alphabet at most.
     """
     if labelled is None:
         ordinary = spark.range(1).select(F.lit(0).alias("label"), F.explode(F.array(*map(F.lit, ORDINARY))).alias("sample"))
@@ -70,9 +74,12 @@ def train(spark: SparkSession, labelled: DataFrame | None = None) -> list[float]
     pairs = labelled.where(F.length("sample") >= 2).select("label", "sample", F.explode(F.sequence(F.lit(1), F.length("sample") - 1)).alias("i"))
     pairs = pairs.select("label", at(F.col("i")).alias("a"), at(F.col("i") + 1).alias("b")).where("a > 0 and b > 0")
     count = {(r["label"], r["a"], r["b"]): r["count"] for r in pairs.groupBy("label", "a", "b").count().collect()}
-    row = {(y, a): sum(count.get((y, a, b), 0) for b in range(1, n + 1)) for y in (0, 1) for a in range(1, n + 1)}
-    p = lambda y, a, b: (count.get((y, a, b), 0) + 0.5) / (row[y, a] + 0.5 * n)
-    return [math.log(p(1, a, b) / p(0, a, b)) for a in range(1, n + 1) for b in range(1, n + 1)]
+    every = range(1, n + 1)
+    after = {(y, a): sum(count.get((y, a, b), 0) for b in every) for y in (0, 1) for a in every}
+    single = {(y, b): sum(count.get((y, a, b), 0) for a in every) for y in (0, 1) for b in every}
+    share = {(y, b): (single[y, b] + 0.5) / (sum(single[y, x] for x in every) + 0.5 * n) for y in (0, 1) for b in every}
+    p = lambda y, a, b: (count.get((y, a, b), 0) + BACKOFF * share[y, b]) / (after[y, a] + BACKOFF)
+    return [math.log(p(1, a, b) / p(0, a, b)) for a in every for b in every]
 
 
 def _found(text: Column, pattern: str, group: int = 0) -> Column:
@@ -126,7 +133,7 @@ def scan(docs: DataFrame, model: list[float] | None = None, text_col: str = "tex
     """
     model = train(docs.sparkSession) if model is None else model
     base, markov = spans(F.coalesce(F.col(text_col), F.lit("")), model)
-    base_, markov_ = f"__{into}_base", f"__{into}_markov"
+    base_, markov_ = fresh("base_spans", [*docs.columns, into]), fresh("markov_spans", [*docs.columns, into])
     free = F.filter(F.col(markov_), lambda m: ~F.exists(F.col(base_), lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
     rows = docs.withColumn(base_, base).withColumn(markov_, markov)
     return rows.withColumn(into, F.array_sort(F.concat(base_, free)).cast(SPANS)).drop(base_, markov_)
@@ -147,19 +154,20 @@ def digest(docs: DataFrame, model: list[float] | None = None) -> DataFrame:
 
 def redact(docs: DataFrame, model: list[float] | None = None, mark: str = "[SECRET]") -> DataFrame:
     """`docs` with each secret in `text` replaced by `mark` (overlapping spans by one) and `n_chars` counted anew. No row goes."""
-    rows = scan(docs, model, into="__spans")
+    found = fresh("spans", docs.columns)
+    rows = scan(docs, model, into=found)
     text = F.col("text")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     cut_out = F.aggregate(
-        "__spans", start,
+        found, start,
         lambda acc, x: F.struct(
             F.greatest(acc["at"], x["end"]).alias("at"),
             F.when(x["start"] >= acc["at"], F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"]).alias("out"),
         ),
         lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
     )
-    clean = F.when(F.size("__spans") > 0, cut_out).otherwise(text)
+    clean = F.when(F.size(found) > 0, cut_out).otherwise(text)
     rows = rows.withColumn("text", clean)
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.size("__spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+        rows = rows.withColumn("n_chars", F.when(F.size(found) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return rows.select(*(F.col(f"`{c}`") for c in docs.columns))
