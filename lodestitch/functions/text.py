@@ -6,8 +6,9 @@ import unicodedata
 from collections import Counter
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
 from . import words as W
 
@@ -16,7 +17,7 @@ def _col(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(ST.StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
 
@@ -93,7 +94,7 @@ def _latin(text: str) -> str:
     return "".join(out).lower().strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(ST.StringType())
 def _transliterate(s: pd.Series) -> pd.Series:
     return s.map(lambda x: "" if not x else _latin(x))
 
@@ -120,8 +121,9 @@ def skeleton_of_latin(x) -> Column:
     return F.when(F.length(F.regexp_replace(out, r"[^\p{L}]", "")) >= 2, out).otherwise(F.lit(""))
 
 
-def name_skeleton(x) -> Column:
-    return skeleton_of_latin(transliterate(x))
+def add_skeleton(rows: DataFrame, name: str = "norm_name", latin: str = "latin", into: str = "skeleton") -> DataFrame:
+    """`rows` with the transliterated name and its skeleton (in two steps: a Python function can't stand in a lambda)."""
+    return rows.withColumn(latin, transliterate(name)).withColumn(into, skeleton_of_latin(latin))
 
 
 def _scripts(x: str | None) -> list[tuple[str, int]]:
@@ -129,7 +131,7 @@ def _scripts(x: str | None) -> list[tuple[str, int]]:
     return found.most_common()
 
 
-@F.pandas_udf("struct<script string, kind string>")
+@F.pandas_udf(ST.StructType([ST.StructField("script", ST.StringType()), ST.StructField("kind", ST.StringType())]))
 def _script_profile(s: pd.Series) -> pd.DataFrame:
     out = []
     for x in s:
@@ -148,7 +150,7 @@ def script_profile(x) -> Column:
     return _script_profile(safe_text(x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(ST.StringType())
 def _dominant(s: pd.Series) -> pd.Series:
     return s.map(lambda x: next((k for k, _ in _scripts(x)), ""))
 

@@ -51,10 +51,12 @@ def sorted_name(s1: DataFrame, targets: DataFrame, max_block: int = DEFAULTS["ma
 def grams(x, sizes: tuple[int, int] = (3, 3)) -> Column:
     """All character n-grams of each token with a blank at either end, repeats included."""
     padded = F.transform(T.tokens(F.lower(T.safe_text(x))), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
-    parts = [
-        F.flatten(F.transform(padded, lambda w, n=n: F.when(F.length(w) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(1))), lambda i: F.substring(w, i, F.lit(n)))).otherwise(F.array(w))))
-        for n in range(sizes[0], sizes[1] + 1)
-    ]
+
+    def of(n: int) -> Column:
+        cut = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(1))), lambda i: F.substring(w, i, F.lit(n)))
+        return F.flatten(F.transform(padded, lambda w: F.when(F.length(w) >= n, cut(w)).otherwise(F.array(w))))
+
+    parts = [of(n) for n in range(sizes[0], sizes[1] + 1)]
     return F.concat(*parts) if len(parts) > 1 else parts[0]
 
 
@@ -74,7 +76,8 @@ def tfidf_topk(
     col = F.col(column) if isinstance(column, str) else column
 
     def counted(df: DataFrame, name: str) -> DataFrame:
-        rows = df.select(F.col("id").alias(name), "country", *(["source"] if name == "t" else []), F.explode(grams(col, sizes)).alias("gram"))
+        rows = df.select(F.col("id").alias(name), "country", *(["source"] if name == "t" else []), col.alias("text"))
+        rows = rows.select(*(c for c in rows.columns if c != "text"), F.explode(grams("text", sizes)).alias("gram"))
         keys = [c for c in rows.columns if c != "gram"]
         return rows.groupBy(*keys, "gram").agg((F.lit(1.0) if binary else 1 + F.ln(F.count("*"))).alias("tf"))
 
