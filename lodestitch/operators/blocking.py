@@ -69,7 +69,8 @@ def tfidf_topk(
     Document frequencies are those of the targets, idf = ln((1 + N) / (1 + df)) + 1; n-grams that no target has count in
     a query's length. The postings joined are those of n-grams in at most `max_df` targets; the best `pool` by them are
     scored anew over all n-grams (pool None: the first score stands). Ties go to the first score, then the smaller id.
-    A frequent n-gram's postings are bounded by `max_df`; AQE splits what is still skewed.
+    Scores are rounded to nine decimals, so that the order of summing decides no tie. A frequent n-gram's postings are
+    bounded by `max_df`; AQE splits what is still skewed.
     """
     if pool is not None and pool < k:
         raise ValueError("pool is smaller than k")
@@ -103,7 +104,7 @@ def tfidf_topk(
     if renormalize:
         pt, pq = unit(pt, "t"), unit(pq, "q")
     post = pq.select("source", "country", "gram", "q", F.col("w").alias("wq")).join(pt.select("source", "country", "gram", "t", F.col("w").alias("wt")), ["source", "country", "gram"])
-    first = post.groupBy("source", "country", "q", "t").agg(F.sum(F.col("wq") * F.col("wt")).alias("pruned")).where("pruned > 0")
+    first = post.groupBy("source", "country", "q", "t").agg(F.round(F.sum(F.col("wq") * F.col("wt")), 9).alias("pruned")).where("pruned > 0")
     by = Window.partitionBy("source", "country", "q").orderBy(F.desc("pruned"), "t")
     if pool is None:
         top = first.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).withColumn("score", F.col("pruned"))
@@ -112,7 +113,7 @@ def tfidf_topk(
     of = lambda rows, key, w: rows.groupBy("source", "country", key).agg(F.map_from_entries(F.collect_list(F.struct("gram", "w"))).alias(w))
     both = head.join(of(qw, "q", "qm"), ["source", "country", "q"]).join(of(tw, "t", "tm"), ["source", "country", "t"])
     dot = F.aggregate(F.map_entries("qm"), F.lit(0.0), lambda a, e: a + e["value"] * F.coalesce(F.try_element_at(F.col("tm"), e["key"]), F.lit(0.0)))
-    scored = both.select("source", "country", "q", "t", "pruned", dot.alias("score"))
+    scored = both.select("source", "country", "q", "t", "pruned", F.round(dot, 9).alias("score"))
     again = Window.partitionBy("source", "country", "q").orderBy(F.desc("score"), F.desc("pruned"), "t")
     top = scored.withColumn("rank", F.row_number().over(again)).where(F.col("rank") <= k)
     return top.select(F.col("q").alias("s1_id"), F.col("source").alias("target_source"), F.col("t").alias("target_id"), "score", (F.col("rank") - 1).alias("rank"))
