@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -12,8 +13,9 @@ from ..functions import similarity as S
 from ..functions import text as T
 from ..functions import words as W
 from ..operators import blocking, context, diagnostics, features, metrics, models, splits
-from ..session import table
+from ..session import scratch_dir, table
 from ..sources import tables
+from ..streaming import link
 from . import pipeline, views
 
 FLAGSHIP = "macro_f05"
@@ -319,6 +321,16 @@ def char_2_5_gram_knn(spark, sf_dir):
     return out.select("s1_id", "target_source", "target_id", r6(F.col("score"), "score"), "rank")
 
 
+@query(f"{E_} {_equal_sql('norm_name', None)}")
+def stream_exact_links(spark, sf_dir):
+    customers = spark.readStream.schema(table(spark, sf_dir, "customer").schema).option("pathGlobFilter", "customer.parquet").parquet(sf_dir)
+    new = views.of(customers, table(spark, sf_dir, "nation")).where("source = 1")
+    at = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
+    out = link.exact_links(new, views.sides(spark, sf_dir)[1]).select("s1_id", "target_source", "target_id")
+    out.writeStream.format("parquet").option("checkpointLocation", f"{at}/log").option("path", f"{at}/out").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{at}/out")
+
+
 # --- similarities and features ----------------------------------------------------------------------------------------
 
 

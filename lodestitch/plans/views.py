@@ -33,8 +33,12 @@ FROM events
 """
 
 
+def of(customers: DataFrame, nations: DataFrame) -> DataFrame:
+    return customers.sparkSession.sql(ENTITIES.replace("FROM customer JOIN nation", "FROM {c} JOIN {n}"), c=customers, n=nations)
+
+
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(ENTITIES.replace("FROM customer JOIN nation", "FROM {c} JOIN {n}"), c=table(spark, sf_dir, "customer"), n=table(spark, sf_dir, "nation"))
+    return of(table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation"))
 
 
 def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
