@@ -12,12 +12,16 @@ from pyspark.sql import functions as F
 
 from .common import chunks, components, cut, fresh, mix, n_partitions, text_bytes, window_hashes, word_hashes
 
-#: Minwise tokens of a set, independent trees, and the depth at which a tree's nodes are compared.
+#: Minwise tokens that paths choose from, independent trees, and the depth at which a tree's nodes are compared.
 TOKENS, TREES, DEPTH = 64, 16, 3
-#: Of the 64 two-bit sketch slots so many agree at least for a pair to be confirmed: at similarity 0.85 they do but for 1 in a million pairs.
-AGREE = 43
-_ODD = np.random.default_rng(11).integers(1, 1 << 63, TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_XOR = np.random.default_rng(12).integers(1, 1 << 63, TOKENS, dtype=np.uint64)
+#: Sketch slots of two bits, each of a minwise token, and how many agree at least for a pair to be confirmed: at similarity
+#: 0.85 that is 4.5 standard deviations under the 113.6 expected, which 1 pair in 100,000 misses.
+SLOTS, AGREE = 128, 97
+WORDS = SLOTS // 64
+#: Members of a node that one task compares at once in the second pass; larger nodes go as pairs of blocks.
+BLOCK = 1000
+_ODD = np.random.default_rng(11).integers(1, 1 << 63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_XOR = np.random.default_rng(12).integers(1, 1 << 63, SLOTS, dtype=np.uint64)
 _M = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -43,9 +47,9 @@ def shingle_sets(raw: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarr
 
 
 def minwise(value: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """sets x TOKENS minwise values; every set has a member."""
-    out = np.empty((len(start) - 1, TOKENS), np.uint64)
-    for k in range(TOKENS):
+    """sets x SLOTS minwise values; every set has a member."""
+    out = np.empty((len(start) - 1, SLOTS), np.uint64)
+    for k in range(SLOTS):
         out[:, k] = np.minimum.reduceat((value ^ _XOR[k]) * _ODD[k], start[:-1])
     return out
 
@@ -81,7 +85,7 @@ def paths(tokens: np.ndarray, similarity: float, trees: int = TREES, depth: int
 
 
 def _described(width: int, similarity: float):
-    """(doc, h, n, print, s0, s1, nodes): size and fingerprint of each row's set, its sketch, and its nodes."""
+    """(doc, h, n, print, sketch, nodes): size and fingerprint of each row's set, its sketch, and its nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
@@ -91,40 +95,48 @@ def _described(width: int, similarity: float):
             prints: list[bytes | None] = [None] * len(n)
             for i in full.tolist():
                 prints[i] = hashlib.blake2b(value[start[i] : start[i + 1]].tobytes(), digest_size=16).digest()
-            sketch = np.zeros((2, len(n)), np.uint64)
+            sketch: list[bytes | None] = [None] * len(n)
             nodes: list = [None] * len(n)
             if len(full):
                 tokens = minwise(value, np.append(start[full], len(value)))
                 bits = mix(tokens)
-                for k in range(2):
-                    sketch[k, full] = ((bits >> np.uint64(k)) & np.uint64(1)) @ (np.uint64(1) << np.arange(TOKENS, dtype=np.uint64))
-                who, node = paths(tokens, similarity)
+                rows = np.concatenate([np.packbits((bits >> np.uint64(k)).astype(np.uint8) & 1, axis=1) for k in range(2)], axis=1)
+                for i, x in zip(full.tolist(), rows, strict=True):
+                    sketch[i] = x.tobytes()
+                who, node = paths(tokens[:, :TOKENS], similarity)
                 order = np.argsort(who, kind="stable")
                 node = node[order].view(np.int64)
                 bound = np.searchsorted(who[order], np.arange(len(full) + 1))
                 for i, a, e in zip(full.tolist(), bound[:-1].tolist(), bound[1:].tolist(), strict=True):
                     nodes[i] = np.unique(node[a:e])
-            cols = [
-                b.column("doc"), b.column("h"), pa.array(n.astype(np.int64)), pa.array(prints, pa.binary()),
-                pa.array(sketch[0].view(np.int64)), pa.array(sketch[1].view(np.int64)), pa.array(nodes, pa.list_(pa.int64())),
-            ]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc", "h", "n", "print", "s0", "s1", "nodes"])
+            cols = [b.column("doc"), b.column("h"), pa.array(n.astype(np.int64)), pa.array(prints, pa.binary()), pa.array(sketch, pa.binary()), pa.array(nodes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc", "h", "n", "print", "sketch", "nodes"])
 
     return run
 
 
-def _close(n: np.ndarray, s0: np.ndarray, s1: np.ndarray, i, j, percent: int) -> np.ndarray:
+def _sketches(col: np.ndarray) -> np.ndarray:
+    """rows x 2 x WORDS, of a column of sketches."""
+    return np.frombuffer(b"".join(col.tolist()), np.uint64).reshape(-1, 2, WORDS)
+
+
+def _close(n: np.ndarray, sketch: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
     """Whether pairs of rows can be similar, by size and sketch."""
     low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-    differ = (s0[i] ^ s0[j]) | (s1[i] ^ s1[j])
-    return (100 * low >= percent * high) & (TOKENS - np.bitwise_count(differ) >= AGREE)
+    ok = np.flatnonzero(100 * low >= percent * high)
+    out = np.zeros(len(i), bool)
+    for at in range(0, len(ok), 500_000):
+        k = ok[at : at + 500_000]
+        differ = sketch[i[k]] ^ sketch[j[k]]
+        out[k] = SLOTS - np.bitwise_count(differ[:, 0] | differ[:, 1]).sum(axis=1) >= AGREE
+    return out
 
 
 def _groups(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[tuple[np.ndarray, ...]]:
     """Whole runs of nodes: tuples of columns, sorted by node as the rows come; no node is split."""
     rest: list[tuple[np.ndarray, ...]] = []
     for b in batches:
-        cols = tuple(b.column(c).to_numpy() for c in names)
+        cols = tuple(b.column(c).to_numpy(zero_copy_only=False) for c in names)
         if not len(cols[0]):
             continue
         rest.append(cols)
@@ -146,8 +158,8 @@ def _first_links(percent: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for node, doc, n, s0, s1 in _groups(batches, ("node", "doc", "n", "s0", "s1")):
-            s0, s1 = s0.view(np.uint64), s1.view(np.uint64)
+        for node, doc, n, sketch in _groups(batches, ("node", "doc", "n", "sketch")):
+            sketch = _sketches(sketch)
             first = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
             size = np.diff(np.append(first, len(node)))
             head = np.repeat(first, size)
@@ -156,7 +168,7 @@ def _first_links(percent: int):
             i = np.concatenate([i, i])
             on = i != j
             i, j = i[on], j[on]
-            on = _close(n, s0, s1, i, j, percent)
+            on = _close(n, sketch, i, j, percent)
             pairs = np.unique(np.stack([doc[j[on]], doc[i[on]]], axis=1), axis=0)
             more = np.repeat(size > 2, size)
             yield pa.RecordBatch.from_arrays(
@@ -172,28 +184,107 @@ def _first_links(percent: int):
     return run
 
 
-def _cross_links(percent: int):
-    """All pairs of a node's members of different components that size and sketch allow; rows come sorted by node."""
+def _assigned(node: int, n, sketch, comp, nodes, i: np.ndarray, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the pairs of a node's members that are of different components, that size and sketch allow, and whose
+    smallest shared node this is: each pair is told by one node."""
+    on = comp[i] != comp[j]
+    i, j = i[on], j[on]
+    on = _close(n, sketch, i, j, percent)
+    i, j = i[on], j[on]
+    held = {k: frozenset(nodes[k].tolist()) for k in np.unique(np.concatenate([i, j])).tolist()}
+    on = np.fromiter((min(held[x] & held[y]) == node for x, y in zip(i.tolist(), j.tolist(), strict=True)), bool, len(i))
+    return i[on], j[on]
+
+
+def _cross_members(percent: int, block: int):
+    """Members of nodes that have a pair to compare there, dealt in blocks of about `block`; rows come sorted by node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for node, doc, n, s0, s1, comp in _groups(batches, ("node", "doc", "n", "s0", "s1", "component")):
-            s0, s1 = s0.view(np.uint64), s1.view(np.uint64)
+        for node, doc, n, blob, comp, nodes in _groups(batches, ("node", "doc", "n", "sketch", "component", "nodes")):
+            sketch = _sketches(blob)
             first = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
             low, high = np.minimum.reduceat(comp, first), np.maximum.reduceat(comp, first)
             end = np.append(first[1:], len(node))
             for a, e in zip(first[low != high].tolist(), end[low != high].tolist(), strict=True):
+                used = np.zeros(e - a, bool)
                 for at in range(a, e, 1024):
-                    i, j = np.meshgrid(np.arange(at, min(e, at + 1024)), np.arange(a, e), indexing="ij")
-                    on = (i < j) & (comp[i] != comp[j])
-                    i, j = i[on], j[on]
-                    on = _close(n, s0, s1, i, j, percent)
-                    x, y = doc[i[on]], doc[j[on]]
-                    if len(x):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+                    i, j = np.meshgrid(np.arange(at, min(e, at + 1024)), np.arange(at, e), indexing="ij")
+                    on = i < j
+                    i, j = _assigned(int(node[a]), n, sketch, comp, nodes, i[on], j[on], percent)
+                    used[i - a] = used[j - a] = True
+                m = np.flatnonzero(used) + a
+                if len(m):
+                    blocks = -(-len(m) // block)
+                    cols = [pa.array(x) for x in (node[m], doc[m], n[m], blob[m], comp[m])]
+                    cols += [pa.array([nodes[k] for k in m.tolist()], pa.list_(pa.int64())), pa.array((np.arange(len(m)) % blocks).astype(np.int32)), pa.array(np.full(len(m), blocks, np.int32))]
+                    yield pa.RecordBatch.from_arrays(cols, names=["node", "doc", "n", "sketch", "component", "nodes", "own", "blocks"])
 
     return run
 
 
+def _cross_confirmed(width: int, percent: int):
+    """Links between members of different components, compared on full sets inside each node's block pairs.
+
+    Rows come sorted by node, block pair and side. Once links have joined two components in the task, their other pairs
+    are left: they change nothing.
+    """
+
+    def compare(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(parts).combine_chunks()
+        of = lambda c: t.column(c).combine_chunks().to_numpy(zero_copy_only=False)
+        node, doc, n, sketch, comp, nodes, side = of("node"), of("doc"), of("n"), _sketches(of("sketch")), of("component"), of("nodes"), of("side")
+        text = t.column("text").combine_chunks()
+        value, start = shingle_sets(*text_bytes(text), width)
+        left = np.flatnonzero(side == 0)
+        right = np.flatnonzero(side == 1) if t.column("bi")[0].as_py() != t.column("bj")[0].as_py() else left
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.get(x, x) != x:
+                root[x] = x = root.get(root[x], root[x])
+            return x
+
+        links = []
+        for at in range(0, len(left), 512):
+            i, j = (x.ravel() for x in np.meshgrid(left[at : at + 512], right, indexing="ij"))
+            if right is left:
+                on = i < j
+                i, j = i[on], j[on]
+            for x, y in zip(*(k.tolist() for k in _assigned(int(node[0]), n, sketch, comp, nodes, i, j, percent)), strict=True):
+                cx, cy = find(int(comp[x])), find(int(comp[y]))
+                if cx != cy and _similar(value[start[x] : start[x + 1]], value[start[y] : start[y + 1]], percent):
+                    root[max(cx, cy)] = min(cx, cy)
+                    links.append((int(doc[x]), int(doc[y])))
+        a, b = zip(*links, strict=True) if links else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, kept = None, []
+        for b in batches:
+            keys = np.stack([b.column(c).to_numpy().astype(np.int64) for c in ("node", "bi", "bj")], axis=1)
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)], strict=True):
+                if s == e:
+                    continue
+                if (key := tuple(keys[s].tolist())) != now:
+                    if kept:
+                        yield compare(kept)
+                    now, kept = key, []
+                kept.append(b.slice(s, e - s))
+        if kept:
+            yield compare(kept)
+
+    return run
+
+
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    if not len(x) or not len(y):
+        return False
+    at = np.searchsorted(y, x)
+    both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+    return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _confirmed(width: int, percent: int):
     """Pairs whose full sets are similar enough."""
 
@@ -202,75 +293,90 @@ def _confirmed(width: int, percent: int):
             for b in chunks(iter([whole]), text="text_b", most=1_500_000):
                 va, sa = shingle_sets(*text_bytes(b.column("text_a")), width)
                 vb, sb = shingle_sets(*text_bytes(b.column("text_b")), width)
-                ok = np.zeros(b.num_rows, bool)
-                for i in range(b.num_rows):
-                    x, y = va[sa[i] : sa[i + 1]], vb[sb[i] : sb[i + 1]]
-                    at = np.searchsorted(y, x)
-                    both = int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(y) else 0
-                    ok[i] = both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
-                at = pa.array(ok)
+                at = pa.array([_similar(va[sa[i] : sa[i + 1]], vb[sb[i] : sb[i + 1]], percent) for i in range(b.num_rows)], pa.bool_())
                 yield pa.RecordBatch.from_arrays([b.column("a").filter(at), b.column("b").filter(at)], names=["a", "b"])
 
     return run
 
 
 #: Bits of the filter of wanted documents that is sent to the tasks (256 KB, whatever the input).
-SLOTS = 1 << 21
+FILTER_BITS = 1 << 21
 
 
 def _wanted(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows whose doc is in `ids` (distinct docs): a bitmap of fixed size drops most others before the join."""
-    slot = f"pmod(xxhash64(doc, 29), {SLOTS})"
-    bucket, place = F.expr(f"bitmap_bucket_number({slot})"), F.expr(f"bitmap_bit_position({slot})")
-    bitmap = bytearray(SLOTS // 8 + 8192)
-    for r in ids.groupBy(bucket.alias("k")).agg(F.expr(f"bitmap_construct_agg(bitmap_bit_position({slot}))").alias("bits")).collect():
-        at = r["k"] * 4096  # SLOTS / 32768 rows of 4 KB, and one more, at most
-        bitmap[at : at + 4096] = r["bits"]
-    byte = F.substring(F.lit(bytes(bitmap)), (bucket * 4096 + F.floor(place / 8) + 1).cast("int"), F.lit(1))
-    held = F.conv(F.hex(byte), 16, 10).cast("int").bitwiseAND(F.pow(F.lit(2), place % 8).cast("int")) > 0
-    return rows.where(held).join(ids, "doc", "left_semi")
+    slot = f"pmod(xxhash64(doc, 29), {FILTER_BITS})"
+    bitmap = np.zeros(FILTER_BITS // 8 + 8192, np.uint8)
+    parts = ids.groupBy(F.expr(f"bitmap_bucket_number({slot})").alias("k")).agg(F.expr(f"bitmap_construct_agg(bitmap_bit_position({slot}))").alias("bits"))
+    for r in parts.collect():  # FILTER_BITS / 32768 rows of 4 KB, and one more, at most
+        bitmap[r["k"] * 4096 : r["k"] * 4096 + 4096] = np.frombuffer(r["bits"], np.uint8)
+    sent = rows.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = sent.value
+        for b in batches:
+            k = b.column("slot").to_numpy()
+            b = b.filter(pa.array((held[k >> 3] >> (k & 7)) & 1 == 1))
+            yield b.select(["doc", "h", "text"])
+
+    place = F.expr(f"bitmap_bucket_number({slot}) * 32768 + bitmap_bit_position({slot})")
+    return rows.select("doc", "h", "text", place.alias("slot")).mapInArrow(run, "doc long, h long, text string").join(ids, "doc", "left_semi")
+
+
+def _texts(rows: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc, text) of the ids, one row each: of rows that share a doc_id the one that the class stands for."""
+    chosen = classes.select("doc", F.col("h").alias("__h")).join(ids, "doc", "left_semi")
+    texts = _wanted(rows, ids).join(chosen, "doc").where(F.col("h") == F.col("__h")).select("doc", "text")
+    return cut(texts.dropDuplicates(["doc"]), "texts")
 
 
 def _confirm(rows: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) that are links; each document's text comes in by a join."""
-    ids = cut(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct(), "wanted")
-    chosen = classes.select("doc", F.col("h").alias("__h")).join(ids, "doc", "left_semi")
-    texts = _wanted(rows, ids).join(chosen, "doc").where(F.col("h") == F.col("__h")).select("doc", "text").dropDuplicates(["doc"])
-    texts = cut(texts, "texts")
+    texts = _texts(rows, classes, cut(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct(), "wanted"))
     both = pairs.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b")), "b")
     both = both.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
     return cut(both.mapInArrow(_confirmed(width, percent), "a long, b long"), "links")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def _confirm_across(rows: DataFrame, classes: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
+    """The links between components among the members of each node."""
+    texts = _texts(rows, classes, cut(members.select("doc").distinct(), "wanted"))
+    dealt = members.join(texts, "doc").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("bi", F.least("own", "other")).withColumn("bj", F.greatest("own", "other")).withColumn("side", (F.col("own") != F.col("bi")).cast("int"))
+    key = ["node", "bi", "bj"]
+    dealt = dealt.drop("own", "other", "blocks").repartition(n_partitions(rows.sparkSession), *key).sortWithinPartitions(*key, "side")
+    return cut(dealt.mapInArrow(_cross_confirmed(width, percent), "a long, b long"), "links")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each doc_id: components of links of `percent` % similarity or more.
 
     Sets are the distinct runs of `width` words, A-Z lower-cased; a text of fewer words is one shingle, one without words
     (or null) an empty set that links with nothing. Equal sets form a class and go on as one. Classes are dealt to the
     nodes of independent trees (see `paths`); a node's members are compared in two passes: first each with the node's
-    first and the one before, then, exhaustively, those that the links found leave in different components. So no link
-    is lost to a node's size, and none is needed inside a component. Every link is confirmed on the full sets. Of rows
+    first and the one before, then, exhaustively, those that the links found leave in different components, in blocks of
+    `block` members. So no link is lost to a node's size, and none is needed inside a component. Every link is confirmed on the full sets. Of rows
     that repeat a doc_id one counts; a null doc_id is left out. Other columns are ignored.
     """
     n_parts = n_partitions(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("text")).where("doc is not null")
-    kind = "doc long, h long, n long, print binary, s0 long, s1 long, nodes array<long>"
+    kind = "doc long, h long, n long, print binary, sketch binary, nodes array<long>"
     described = rows.mapInArrow(_described(width, percent / 100), kind)
-    described = cut(described.groupBy("doc").agg(F.min(F.struct("h", "n", "print", "s0", "s1", "nodes")).alias("x")).select("doc", "x.*"), "described")
-    classes = described.where("n > 0").groupBy("print").agg(F.min(F.struct("doc", "h", "n", "s0", "s1", "nodes")).alias("x")).select("print", "x.*")
+    described = cut(described.groupBy("doc").agg(F.min(F.struct("h", "n", "print", "sketch", "nodes")).alias("x")).select("doc", "x.*"), "described")
+    classes = described.where("n > 0").groupBy("print").agg(F.min(F.struct("doc", "h", "n", "sketch", "nodes")).alias("x")).select("print", "x.*")
     classes = cut(classes, "classes")
-    spread = classes.select(F.explode("nodes").alias("node"), "doc", "n", "s0", "s1")
+    spread = classes.select(F.explode("nodes").alias("node"), "doc", "n", "sketch")
     first = spread.repartition(n_parts, "node").sortWithinPartitions("node", "doc").mapInArrow(_first_links(percent), "a long, b long, node long, pair boolean")
     first = cut(first, "first")
     links = _confirm(rows, classes, first.where("pair").select("a", "b").distinct(), width, percent)
     comp = cut(components(links), "components")
     members = first.where("not pair").select("node", F.col("a").alias("doc"))
-    again = members.join(classes.select("doc", "n", "s0", "s1"), "doc").join(comp.withColumnRenamed("id", "doc"), "doc", "left")
-    again = again.select("node", "doc", "n", "s0", "s1", F.coalesce("component", "doc").alias("component"))
-    pairs = again.repartition(n_parts, "node").sortWithinPartitions("node", "doc").mapInArrow(_cross_links(percent), "a long, b long")
-    pairs = cut(pairs.distinct(), "cross")
-    if pairs.limit(1).count():
-        links = links.union(_confirm(rows, classes, pairs, width, percent))
+    again = members.join(classes.select("doc", "n", "sketch", "nodes"), "doc").join(comp.withColumnRenamed("id", "doc"), "doc", "left")
+    again = again.select("node", "doc", "n", "sketch", F.coalesce("component", "doc").alias("component"), "nodes")
+    kind = "node long, doc long, n long, sketch binary, component long, nodes array<long>, own int, blocks int"
+    across = cut(again.repartition(n_parts, "node").sortWithinPartitions("node", "doc").mapInArrow(_cross_members(percent, block), kind), "across")
+    if across.limit(1).count():
+        links = links.union(_confirm_across(rows, classes, across, width, percent))
         comp = components(links)
     by_class = classes.select("print", "doc").join(comp.withColumnRenamed("id", "doc"), "doc", "left").select("print", F.coalesce("component", "doc").alias("component"))
     out = described.select("doc", "n", "print").join(by_class, "print", "left")

@@ -97,14 +97,18 @@ def test_near_duplicates_equal_brute_force(docs, corpus):
     assert {r["doc_id"] for r in kept.collect()} == {i for i, x in want.items() if x[2]}
 
 
-def test_chains_of_links_in_one_node(spark):
+@pytest.mark.parametrize("block", [1000, 3])
+def test_chains_of_links_in_one_node(spark, block):
     base = [f"w{i}" for i in range(300)]
-    texts = [" ".join([f"v{k}_{j}" for j in range(8 * k)] + base[8 * k :]) for k in range(25)]
-    df = spark.createDataFrame([(100 - i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    sets = {100 - i: shingles(t) for i, t in enumerate(texts)}
+    texts = [" ".join([f"v{j}" for j in range(8 * k)] + base[8 * k :]) for k in range(25)]
+    ids = random.Random(8).sample(range(1000), 25)  # the node's order isn't the chain's
+    df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    sets = {i: shingles(t) for i, t in zip(ids, texts)}
     links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
     nodes, low = min_labels(*(np.array(x) for x in zip(*links)))
-    assert {r["doc_id"]: r["component_id"] for r in neardup_text.near_duplicates(df).collect()} == {i: dict(zip(nodes.tolist(), low.tolist())).get(i, i) for i in sets}
+    comp = dict(zip(nodes.tolist(), low.tolist()))
+    assert len(links) > 20
+    assert {r["doc_id"]: r["component_id"] for r in neardup_text.near_duplicates(df, block=block).collect()} == {i: comp.get(i, i) for i in sets}
 
 
 def keys(text):
