@@ -22,7 +22,7 @@ MASK64 = 0xFFFFFFFFFFFFFFFF
 #: Marks before which a unit ends after a letter, where the model has no piece of a letter and then that mark.
 MARKS = ".,;:!?"
 #: Units that a worker remembers for each variant.
-REMEMBERED = 60_000
+REMEMBERED = 300_000
 
 
 def model_file() -> str:
