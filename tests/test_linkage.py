@@ -51,15 +51,16 @@ def test_features_of_the_tiny_data(tiny):
 
 def test_pipeline_end_to_end_resumes_and_refuses_another_config(spark, tiny, tmp_path):
     s1, t, a, b, lexicon = tiny
-    rows = pipeline.pair_features(pipeline.candidate_pairs(a, b), a, b)
+    config = pipeline.Config(channels=("exact_name", "house_city", "name_token_sort"))
+    rows = pipeline.pair_features(pipeline.candidate_pairs(a, b, config), a, b, config)
     truth = blocking.exact_name(a, b)
     labelled = features.with_labels(rows, truth).cache()
     matcher = models.fit_trees(labelled, ["name_ratio", "address_ratio", "name_token_jaccard"], models.TreeParams(rounds=3, depth=2, min_rows=1))
     out = f"file://{tmp_path}/run"
-    got = pipeline.run(spark, s1, t, out, matcher, lexicon=lexicon)
+    got = pipeline.run(spark, s1, t, out, matcher, config=config, lexicon=lexicon)
     lists = {r["source1_entity_id"]: r["matched_entity_ids"] for r in got["lists"].collect()}
     assert set(lists) == {f"S1-{i}" for i, *_ in US1 + FR1}
-    again = pipeline.run(spark, s1, t, out, matcher, lexicon=lexicon)
+    again = pipeline.run(spark, s1, t, out, matcher, config=config, lexicon=lexicon)
     assert tables.tables_equal(got["decisions"], again["decisions"])
     assert tables.tables_equal(got["decisions"].select("s1_id", "target_source", "target_id"), got["features"].select("s1_id", "target_source", "target_id"))
     with pytest.raises(ValueError, match="another configuration"):
