@@ -191,8 +191,18 @@ def _assigned(node: int, n, sketch, comp, nodes, i: np.ndarray, j: np.ndarray, p
     i, j = i[on], j[on]
     on = _close(n, sketch, i, j, percent)
     i, j = i[on], j[on]
-    held = {k: frozenset(nodes[k].tolist()) for k in np.unique(np.concatenate([i, j])).tolist()}
-    on = np.fromiter((min(held[x] & held[y]) == node for x, y in zip(i.tolist(), j.tolist(), strict=True)), bool, len(i))
+    if not len(i):
+        return i, j
+    used, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+    size = np.array([len(nodes[k]) for k in used.tolist()])
+    every = np.concatenate([nodes[k] for k in used.tolist()])
+    who = np.repeat(np.arange(len(used)), size)[every < node]
+    _, column, count = np.unique(every[every < node], return_inverse=True, return_counts=True)
+    dense = np.cumsum(count > 1) - 1  # smaller nodes of two members and more
+    on = count[column] > 1
+    holds = np.zeros((len(used), int((count > 1).sum())), np.float32)
+    holds[who[on], dense[column[on]]] = 1
+    on = (holds @ holds.T)[at[: len(i)], at[len(i) :]] == 0
     return i[on], j[on]
 
 
@@ -207,8 +217,8 @@ def _cross_members(percent: int, block: int):
             end = np.append(first[1:], len(node))
             for a, e in zip(first[low != high].tolist(), end[low != high].tolist(), strict=True):
                 used = np.zeros(e - a, bool)
-                for at in range(a, e, 1024):
-                    i, j = np.meshgrid(np.arange(at, min(e, at + 1024)), np.arange(at, e), indexing="ij")
+                for at, to in ((x, y) for x in range(a, e, 1024) for y in range(x, e, 1024)):
+                    i, j = np.meshgrid(np.arange(at, min(e, at + 1024)), np.arange(to, min(e, to + 1024)), indexing="ij")
                     on = i < j
                     i, j = _assigned(int(node[a]), n, sketch, comp, nodes, i[on], j[on], percent)
                     used[i - a] = used[j - a] = True
