@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,9 +15,8 @@ from .common import chunks, components, cut, fresh, mix, n_partitions, text_byte
 
 #: Minwise tokens that paths choose from, independent trees, and the depth at which a tree's nodes are compared.
 TOKENS, TREES, DEPTH = 64, 16, 3
-#: Sketch slots of two bits, each of a minwise token, and how many agree at least for a pair to be confirmed: at similarity
-#: 0.85 that is 4.5 standard deviations under the 113.6 expected, which 1 pair in 100,000 misses.
-SLOTS, AGREE = 128, 97
+#: Sketch slots of two bits, each of a minwise token.
+SLOTS = 128
 WORDS = SLOTS // 64
 #: Members of a node that one task compares at once in the second pass; larger nodes go as pairs of blocks.
 BLOCK = 1000
@@ -120,15 +120,23 @@ def _sketches(col: np.ndarray) -> np.ndarray:
     return np.frombuffer(b"".join(col.tolist()), np.uint64).reshape(-1, 2, WORDS)
 
 
+def least_agreement(percent: int) -> int:
+    """How many sketch slots agree at least for a pair to be confirmed: 4.5 standard deviations under those expected at
+    `percent` % similarity, which about 1 such pair in 100,000 misses. Slots of different tokens agree by chance in 1 of 4."""
+    p = 0.25 + 0.75 * percent / 100
+    return max(0, math.floor(SLOTS * p - 4.5 * math.sqrt(SLOTS * p * (1 - p))))
+
+
 def _close(n: np.ndarray, sketch: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
     """Whether pairs of rows can be similar, by size and sketch."""
     low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
     ok = np.flatnonzero(100 * low >= percent * high)
     out = np.zeros(len(i), bool)
+    agree = least_agreement(percent)
     for at in range(0, len(ok), 500_000):
         k = ok[at : at + 500_000]
         differ = sketch[i[k]] ^ sketch[j[k]]
-        out[k] = SLOTS - np.bitwise_count(differ[:, 0] | differ[:, 1]).sum(axis=1) >= AGREE
+        out[k] = SLOTS - np.bitwise_count(differ[:, 0] | differ[:, 1]).sum(axis=1) >= agree
     return out
 
 

@@ -111,6 +111,23 @@ def test_chains_of_links_in_one_node(spark, block):
     assert {r["doc_id"]: r["component_id"] for r in neardup_text.near_duplicates(df, block=block).collect()} == {i: comp.get(i, i) for i in sets}
 
 
+@pytest.mark.parametrize("percent", [50, 70, 80, 85])
+def test_sketches_pass_pairs_at_the_asked_similarity(percent):
+    assert neardup_text.least_agreement(85) == 97
+    rng = np.random.default_rng(percent)
+    size, pairs = 400, 300
+    both = round(2 * size * percent / (100 + percent)) + 1
+    value = []
+    for _ in range(pairs):
+        x = rng.integers(0, 1 << 63, 2 * size - both, dtype=np.uint64)
+        value += [x[:size], x[size - both :]]
+    tokens = neardup_text.minwise(np.concatenate(value), np.arange(0, 2 * pairs * size + 1, size))
+    bits = neardup_text.mix(tokens)
+    sketch = np.concatenate([np.packbits((bits >> np.uint64(k)).astype(np.uint8) & 1, axis=1) for k in range(2)], axis=1)
+    i = np.arange(0, 2 * pairs, 2)
+    assert neardup_text._close(np.full(2 * pairs, size), neardup_text._sketches(np.array([x.tobytes() for x in sketch], object)), i, i + 1, percent).all()
+
+
 def keys(text):
     return [x.strip(" \t\n\x0b\x0c\r").translate(UP) for x in (text or "").split("\n")]
 
