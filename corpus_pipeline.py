@@ -24,8 +24,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, that of the smallest doc_id."""
-    return neardup_text.keep_one(docs)
+    """One document of each group of near-duplicates (0.8 of their word shingles or more) stays, that of the smallest doc_id."""
+    return neardup_text.keep_one(docs, percent=80)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -402,8 +402,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85, doc_id:
     return out.withColumn("kept", F.col(doc_id) == F.col("component_id"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """`docs` without the documents that a near-duplicate of smaller doc_id stands for; rows with a null doc_id stay."""
+def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """`docs` without the documents that a near-duplicate (of `percent` % similarity or more) of smaller doc_id stands
+    for; rows with a null doc_id stay."""
     name = fresh("gone", docs.columns)
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias(name))
+    gone = near_duplicates(docs, percent=percent).where("not kept").select(F.col("doc_id").alias(name))
     return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
