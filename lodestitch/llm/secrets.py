@@ -17,7 +17,8 @@ KINDS = ("assign", "access", "hex", "markov")
 ASSIGN_LENGTH = 6
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-="
-#: A candidate of the Markov models: a whole run of the alphabet's characters of 20 or more.
+#: A candidate of the Markov models: a whole run of the alphabet's characters of LEAST or more, or a part of it of as many.
+LEAST = 20
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 
 #: Labelled sample of ordinary identifiers and words (label 0); the random strings (label 1) are made by `random_sample`.
@@ -47,6 +48,8 @@ should america world high every near add food between own below country plant la
 
 #: A candidate is a secret from so many nats of log-likelihood ratio a character.
 NATS_A_CHARACTER = 0.55
+#: A part of a run ends where its summed ratio over the threshold has fallen by so many nats.
+DROP = 6.0
 RANDOM_STRINGS = 600
 BACKOFF = 5.0
 
@@ -98,11 +101,50 @@ def _found(text: Column, pattern: str, group: int = 0) -> Column:
     )
 
 
-def _mean_ratio(token: Column, table: Column) -> Column:
+def _sum_ratio(token: Column, table: Column, less: float = 0.0) -> Column:
+    """The sum of the pairs' log-likelihood ratios, each less by `less`; 0 for fewer than two characters."""
     n = len(ALPHABET)
     at = lambda i: F.instr(F.lit(ALPHABET), F.substring(token, i, F.lit(1)))
-    each = F.transform(F.sequence(F.lit(1), F.length(token) - 1), lambda i: F.element_at(table, ((at(i) - 1) * n + at(i + 1)).cast("int")))
-    return F.aggregate(each, F.lit(0.0), lambda a, x: a + x) / (F.length(token) - 1)
+    pairs = F.when(F.length(token) > 1, F.sequence(F.lit(1), F.length(token) - 1)).otherwise(F.array().cast("array<int>"))
+    each = F.transform(pairs, lambda i: F.element_at(table, ((at(i) - 1) * n + at(i + 1)).cast("int")))
+    return F.aggregate(each, F.lit(0.0), lambda a, x: a + x - less)
+
+
+def _mean_ratio(token: Column, table: Column) -> Column:
+    return _sum_ratio(token, table) / (F.length(token) - 1)
+
+
+def _parts(token: Column, table: Column, threshold: float) -> Column:
+    """Starts and ends of the parts of a run that are secrets by themselves, in order; parts don't overlap.
+
+    A piece is a stretch of letters and digits with the separators before it. From left to right, pieces are joined as
+    long as the sum of (ratio - threshold) over what is joined stays positive, so its mean is over the threshold; a
+    joined stretch of LEAST characters or more counts up to its highest sum, and ends where the sum has fallen by DROP.
+    An = before a letter or digit always separates.
+    """
+    piece = F.regexp_extract_all(token, F.lit("[+/_=-]+[A-Za-z0-9]*|[A-Za-z0-9]+"), F.lit(0))
+
+    def measured(x: Column) -> Column:
+        bare = F.regexp_replace(x, "^[+/_=-]+", "")
+        return F.struct(
+            F.length(x).alias("n"), (F.length(x) - F.length(bare)).alias("lead"), x.rlike("=[+/_=-]*[A-Za-z0-9]").alias("hard"),
+            _sum_ratio(x, table, threshold).alias("joined"), _sum_ratio(bare, table, threshold).alias("alone"),
+        )
+
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    found = lambda a: F.when(a["to"] > 0, F.concat(a["out"], F.array(F.struct(a["from"].alias("start"), a["to"].alias("end"))))).otherwise(a["out"])
+    state = lambda at, begin, total, start, end, best, out: F.struct(at.alias("at"), begin.alias("begin"), total.alias("total"), start.alias("from"), end.alias("to"), best.alias("best"), out.alias("out"))
+
+    def step(a: Column, x: Column) -> Column:
+        end, total = a["at"] + x["n"], a["total"] + x["joined"]
+        anew = x["hard"] | (total < x["alone"]) | ((a["to"] > 0) & (total < a["best"] - DROP))
+        begin, total = F.when(anew, a["at"] + x["lead"]).otherwise(a["begin"]), F.when(anew, x["alone"]).otherwise(total)
+        to, best = F.when(anew, 0).otherwise(a["to"]), F.when(anew, 0.0).otherwise(a["best"])
+        more = (end - begin >= LEAST) & (total >= best)
+        return state(end, begin, total, F.when(more, begin).otherwise(a["from"]), F.when(more, end).otherwise(to), F.when(more, total).otherwise(best), F.when(anew, found(a)).otherwise(a["out"]))
+
+    start = state(F.lit(0), F.lit(0), F.lit(0.0), F.lit(0), F.lit(0), F.lit(0.0), none)
+    return F.aggregate(F.transform(piece, measured), start, step, found)
 
 
 SPANS = "array<struct<start:int,kind:int,end:int>>"
@@ -112,7 +154,7 @@ def spans(text: Column, model: list[float], threshold: float = NATS_A_CHARACTER)
     """All spans of a text as structs (start, kind, end), by start and kind; kind is a place in KINDS, end is exclusive.
 
     Base kinds are what the fixed patterns match. `markov` is a candidate run whose mean log-likelihood ratio reaches
-    `threshold` and that no base span overlaps. A null text has none.
+    `threshold`, or else each part of the run that does (see `_parts`), if no base span overlaps it. A null text has none.
     """
     none = F.array().cast(SPANS)
     as_kind = lambda found, k: F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), x["end"].alias("end")))
@@ -122,7 +164,10 @@ def spans(text: Column, model: list[float], threshold: float = NATS_A_CHARACTER)
     hexes = only(HEX, as_kind(_found(text, HEX), 2))
     base = F.concat(assign, access, hexes)
     table = F.array(*map(F.lit, model))
-    markov = only(CANDIDATE, as_kind(F.filter(_found(text, CANDIDATE), lambda x: _mean_ratio(x["g"], table) >= threshold), 3))
+    whole = lambda x: F.array(F.struct(x["start"].alias("start"), x["end"].alias("end")))
+    parts = lambda x: F.transform(_parts(x["g"], table, threshold), lambda p: F.struct((x["start"] + p["start"]).alias("start"), (x["start"] + p["end"]).alias("end")))
+    runs = F.transform(_found(text, CANDIDATE), lambda x: F.when(_mean_ratio(x["g"], table) >= threshold, whole(x)).otherwise(parts(x)))
+    markov = only(CANDIDATE, as_kind(F.flatten(runs), 3))
     return base, markov
 
 

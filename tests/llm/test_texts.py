@@ -223,6 +223,32 @@ def test_markov_models_tell_held_out_strings_apart(spark):
     assert sum(mean(x) >= secrets.NATS_A_CHARACTER for x in names) <= 4
 
 
+def test_secrets_glued_to_ordinary_text_are_found(spark):
+    rng = random.Random(4)
+    base62 = secrets.ALPHABET[:62]
+    make = lambda n: "".join(rng.choice(base62) for _ in range(n))
+    glue = [("aws_secret_access_key=", 40), ("aws_secret_access_key=", 32), ("github_personal_access_key=", 40), ("github_personal_access_key=", 32), ("/home/user/projects/website/config/", 40), ("database_connection_string_value=", 32), ("sk_live_", 20)]
+    rows, at = [], {}
+    for k, (before, n) in enumerate(glue):
+        for _ in range(60):
+            x = make(n)
+            at[len(rows)] = (k, 4 + len(before), 4 + len(before) + n)
+            rows.append((len(rows), f"see {before}{x} there"))
+    words = ["user", "account", "render", "token_list", "handler", "view", "model", "update", "thread", "config", "home", "website"]
+    plain = {len(rows) + i for i in range(200)}
+    rows += [(i, rng.choice("/_-").join(rng.choice(words) for _ in range(8))) for i in sorted(plain)]
+    two = len(rows)
+    a, b = make(32), make(32)
+    rows.append((two, f"/home/user/documentation/{a}/usr/local/share/documentation/templates/{b}/index_page_header_image"))
+    got = {r["doc_id"]: r["secret_spans"] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, (before, n) in enumerate(glue):
+        own = [i for i in at if at[i][0] == k]
+        assert sum(any(s["start"] <= at[i][1] and s["end"] >= at[i][2] for s in got[i]) for i in own) >= (0.95 if n > 20 else 0.9) * len(own), (before, n)
+    assert sum(bool(got[i]) for i in plain) <= 4
+    spans = [rows[two][1][s["start"] : s["end"]] for s in got[two]]
+    assert len(spans) == 2 and a in spans[0] and b in spans[1]
+
+
 def test_licenses_equal_brute_force(docs, corpus):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     want = {}
