@@ -108,8 +108,22 @@ def _postings(graph: Graph, replicas: int, closeness: float):
     return run
 
 
-def _chosen(graph: Graph, lists: int, ratio: float):
-    """(list, query, qvec): the lists to read for each query, those within `ratio` times the distance of the nearest."""
+def _chosen(graph: Graph, lists: int, ratio: float, sizes: np.ndarray, least: int):
+    """(list, query, qvec): the lists to read for each query, those within `ratio` times the distance of the nearest.
+
+    Lists that hold fewer than `least` rows together by `sizes` are followed by further ones in order of distance, until
+    they do or all are read.
+    """
+
+    def read(x: np.ndarray) -> list[int]:
+        near, d = graph.search(x, lists, width=max(64, lists + 32))
+        out = near[(d <= ratio * d[0]) | (d == d[0])]
+        if sizes[out].sum() < least:
+            rest = np.argsort(((graph.points - x) ** 2).sum(1), kind="stable")
+            rest = rest[~np.isin(rest, out)]
+            before = sizes[out].sum() + np.cumsum(sizes[rest]) - sizes[rest]
+            out = np.concatenate([out, rest[(before < least) & (sizes[rest] > 0)]])
+        return out.tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -118,8 +132,7 @@ def _chosen(graph: Graph, lists: int, ratio: float):
             rows = []
             for i, x in zip(at, got, strict=True):
                 if len(x) == graph.points.shape[1]:
-                    near, d = graph.search(x, lists, width=max(64, lists + 32))
-                    rows += [(c, ids[i], x.tobytes()) for c, v in zip(near.tolist(), d.tolist(), strict=True) if v <= ratio * d[0] or v == d[0]]
+                    rows += [(c, ids[i], x.tobytes()) for c in read(x)]
             cols = list(zip(*rows, strict=True)) if rows else [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["list", "id", "vec"])
 
@@ -179,7 +192,7 @@ def search(
     At most `n_lists` centroids (one for 40 sampled rows at most) are fitted on the `sample_rows` rows whose hashed ids are smallest; every row is indexed. A vector lies in
     its nearest posting list and, near a boundary, in up to `replicas` lists at most `closeness` times as far. The
     centroids (at most `n_lists`) and their graph are sent to the tasks; a query reads the up to `lists` lists found
-    within `ratio` times the nearest one's distance. Lists of over `part_rows` rows are split evenly by id and read in
+    within `ratio` times the nearest one's distance, and further ones until these hold `k` other vectors. Lists of over `part_rows` rows are split evenly by id and read in
     parts. score is the Euclidean distance of the original vectors in double precision; ties go to the smaller id.
     Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows with a null id;
     of rows that repeat an id, one counts. Vectors of another length than most of the sample's take no part.
@@ -197,8 +210,13 @@ def search(
     fit = np.array([x for x in sample if len(x) == dim])
     graph = Graph(centroids(fit, min(n_lists, max(1, len(fit) // 40)), seed=seed))
     postings = cut(rows.mapInArrow(_postings(graph, replicas, closeness), "list int, id long, vec binary").dropDuplicates(["list", "id"]), "postings")
-    parts = postings.groupBy("list").agg(F.ceil(F.count("*") / F.lit(part_rows)).cast("int").alias("parts"))  # one row a list
-    asked = of(queries).mapInArrow(_chosen(graph, lists, ratio), "list int, id long, vec binary").dropDuplicates(["list", "id"])
+    held = postings.groupBy("list").agg(F.count("*").alias("n"), F.ceil(F.count("*") / F.lit(part_rows)).cast("int").alias("parts"))  # one row a list
+    sizes = np.zeros(len(graph.points), np.int64)
+    for r in held.collect():  # n_lists rows at most
+        sizes[r["list"]] = r["n"]
+    parts = held.select("list", "parts")
+    # a vector lies in `replicas` lists at most, so as many rows hold k vectors besides the query's own
+    asked = of(queries).mapInArrow(_chosen(graph, lists, ratio, sizes, replicas * (k + 1)), "list int, id long, vec binary").dropDuplicates(["list", "id"])
     right = postings.join(F.broadcast(parts), "list").select("list", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), F.lit(1).alias("side"), "id", "vec")
     left = asked.join(F.broadcast(parts), "list").select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"), "id", "vec")
     near = left.union(right).repartition(n_partitions(spark), "list", "part").sortWithinPartitions("list", "part", "side")

@@ -74,6 +74,19 @@ def test_nearest_neighbours_recall_and_scores(spark):
     assert hit >= 0.9 * total
 
 
+def test_queries_at_their_centroid_get_all_their_rows(spark):
+    rng = np.random.default_rng(6)
+    near = rng.normal(size=(1140, 8)) * 0.3 + 10 * np.eye(8)[rng.integers(0, 8, 1140)]
+    far = 40 * rng.normal(size=(60, 8))  # outliers become centroids of their own
+    groups = np.repeat(30 * rng.normal(size=(20, 8)), 6, axis=0) + 0.01 * rng.normal(size=(120, 8))
+    x = np.concatenate([near, far, groups])
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>").repartition(3)
+    got = ann.search(df, df, k=10).groupBy("query_id").count().collect()
+    assert len(got) == len(x) and all(r["count"] == 10 for r in got)
+    short = ann.search(df.where("vec_id >= 1140"), df.where("vec_id >= 1140"), k=200).groupBy("query_id").count().collect()
+    assert len(short) == 180 and all(r["count"] == 179 for r in short)  # all there are
+
+
 def test_fewer_candidates_than_asked(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0], 1), (5, [2.0, 0.0], 1), (3, [0.0, 0.0], 1)], "vec_id long, embedding array<double>, label int")
     assert [tuple(r) for r in ann.search(df, df.where("vec_id = 0")).collect()] == [(0, 1, 5, 1.0)]
