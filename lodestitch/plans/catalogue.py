@@ -331,6 +331,55 @@ def stream_exact_links(spark, sf_dir):
     return spark.read.schema(out.schema).parquet(f"{at}/out")
 
 
+# --- the blocking queries whole -----------------------------------------------------------------------------------------
+# As above with the operators' own values (blocking.DEFAULTS, rare_tokens) and all seven channels. No twins: too slow in SQL.
+
+
+def _whole(spark, sf_dir):
+    rows = _keyed(spark, sf_dir)
+    return rows.where("source = 1"), rows.where("source > 1")
+
+
+def _whole_channel(spark, sf_dir, name):
+    return blocking.channels(*_whole(spark, sf_dir), (name,))[name].withColumn("rank", F.col("rank").cast("long"))
+
+
+@query()
+def join_token_sort_whole(spark, sf_dir):
+    return _whole_channel(spark, sf_dir, "name_token_sort")
+
+
+@query()
+def join_house_city_whole(spark, sf_dir):
+    return _whole_channel(spark, sf_dir, "house_city")
+
+
+@query()
+def join_postal_whole(spark, sf_dir):
+    return _whole_channel(spark, sf_dir, "postal_code")
+
+
+@query()
+def token_index_rare_whole(spark, sf_dir):
+    return blocking.rare_tokens(*views.sides(spark, sf_dir))
+
+
+@query()
+def tfidf_topk_name_whole(spark, sf_dir):
+    return _whole_channel(spark, sf_dir, "name_char").select("s1_id", "target_source", "target_id", r6(F.col("score"), "score"))
+
+
+@query()
+def tfidf_topk_address_whole(spark, sf_dir):
+    return _whole_channel(spark, sf_dir, "address_char").select("s1_id", "target_source", "target_id", r6(F.col("score"), "score"))
+
+
+@query()
+def merge_candidates_mask_whole(spark, sf_dir):
+    merged = blocking.merge(blocking.channels(*_whole(spark, sf_dir)))
+    return merged.select("s1_id", "target_source", "target_id", F.col("mask").cast("long").alias("mask"), "house_city_hit", "postal_code_hit", "name_token_sort_hit")
+
+
 # --- similarities and features ----------------------------------------------------------------------------------------
 
 
@@ -343,6 +392,11 @@ def _pairs(spark, sf_dir):
     return features.pair_table(pairs, a, t)
 
 
+def _whole_pairs(spark, sf_dir):
+    a, t = pipeline.prepare(*views.sides(spark, sf_dir))
+    return features.pair_table(pipeline.candidate_pairs(a, t), a, t)
+
+
 _PAIR_SQL = f"{_MERGE}, pr AS (SELECT m.*, x.norm_name AS an, y.norm_name AS bn, x.norm_address AS aa, y.norm_address AS ba FROM m JOIN e x ON x.id = s1_id JOIN e y ON y.id = target_id)"
 _JAC = "CASE WHEN {0} <> '' AND {1} <> '' THEN round(len(list_intersect({2}, {3})) / len(list_distinct(list_concat({2}, {3}))), 6) END"
 
@@ -362,19 +416,19 @@ def pair_number_features(spark, sf_dir):
 
 @query()
 def pair_scores(spark, sf_dir):
-    rows = _pairs(spark, sf_dir)
+    rows = _whole_pairs(spark, sf_dir)
     s = S.pair_scores("a_norm_name", "b_norm_name")
     return rows.select("s1_id", "target_source", "target_id", s.alias("s"), r6(S.number_sequence("a_numbers", "b_numbers"), "number_sequence")).select("s1_id", "target_source", "target_id", *(r6(F.col(f"s.{n}"), n) for n in S.SCORERS), "number_sequence")
 
 
 @query()
 def prefilter_keep(spark, sf_dir):
-    return features.prefilter(_pairs(spark, sf_dir)).select("s1_id", "target_source", "target_id")
+    return features.prefilter(_whole_pairs(spark, sf_dir)).select("s1_id", "target_source", "target_id")
 
 
 @query()
 def pair_features(spark, sf_dir):
-    return features.features(features.prefilter(_pairs(spark, sf_dir)))
+    return features.features(features.prefilter(_whole_pairs(spark, sf_dir)))
 
 
 @query(f"{E_} SELECT id, CASE WHEN norm_name <> '' THEN count(*) OVER (PARTITION BY source, country, norm_name) END AS name_frequency, CASE WHEN norm_name <> '' THEN round(1 / count(*) OVER (PARTITION BY source, country, norm_name), 6) END AS rarity FROM e")

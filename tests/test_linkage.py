@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from lodestitch.functions import address as A
 from lodestitch.operators import blocking, context, diagnostics, features, metrics, models, splits
-from lodestitch.plans import pipeline
+from lodestitch.plans import catalogue, pipeline
 from lodestitch.sources import tables
 from lodestitch.streaming import link
 
@@ -256,3 +256,24 @@ def test_models_and_second_stage(spark):
     assert flat.where("counterfactual is not null").count() == 600
     audit = diagnostics.feature_audit(rows, ["name_ratio", "house_number_match"])
     assert [r["feature"] for r in audit["constant"].collect()] == ["house_number_match"]
+
+
+def test_whole_queries_keep_large_blocks_and_all_channels(spark, tmp_path):
+    spark.createDataFrame([(700 * k + 12, "BUILDING", 0) for k in range(150)], "c_custkey long, c_mktsegment string, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(0, 0)], "n_nationkey int, n_regionkey int").write.parquet(f"{tmp_path}/nation.parquet")
+    rows = catalogue._keyed(spark, str(tmp_path)).collect()
+    s1, targets = [r for r in rows if r["source"] == 1], [r for r in rows if r["source"] > 1]
+    of = lambda key: {(a["id"], t["source"], t["id"]) for a in s1 for t in targets if key(a) and key(a) == key(t)}
+    got = lambda name: {(r["s1_id"], r["target_source"], r["target_id"]) for r in catalogue.QUERIES[name](spark, str(tmp_path)).collect()}
+    for name, key in (("join_house_city", "house_city"), ("join_postal", "postal")):
+        want = of(lambda r, key=key: r[key])
+        assert len(want) > 500 and got(f"{name}_whole") == want and len(got(name)) < len(want), name
+    names = of(lambda r: " ".join(sorted(r["norm_name"].split())))
+    assert got("join_token_sort_whole") == names
+    mask = {(r["s1_id"], r["target_source"], r["target_id"]): r["mask"] for r in catalogue.QUERIES["merge_candidates_mask_whole"](spark, str(tmp_path)).collect()}
+    bit = lambda b: {k for k, m in mask.items() if m & b}
+    assert bit(blocking.BITS["house_city"]) == of(lambda r: r["house_city"]) and bit(blocking.BITS["exact_name"]) == of(lambda r: r["norm_name"])
+    assert bit(blocking.BITS["name_char"]) == of(lambda r: r["norm_name"] != "")  # fewer targets than k: all that share an n-gram
+    assert bit(blocking.BITS["address_char"])
+    scored = got("pair_scores")
+    assert scored == set(mask)
