@@ -94,16 +94,17 @@ def learn_city_lexicon(entities: DataFrame, min_count: int = 25, address: str =
 def with_keys(entities: DataFrame, lexicon: DataFrame, address: str = "norm_address", country: str = "country") -> DataFrame:
     """`entities` with house, postal, city and house_city ('' where there is none).
 
-    `lexicon` has country and token. Tokens of an address meet it in a join, so it may be of any size; the address's
-    rightmost token that is in it counts.
+    `lexicon` has country and token. Tokens of the different addresses meet it in a join, so it may be of any size; an
+    address's rightmost token that is in it counts, and comes back by the address itself.
     """
     stripped = F.array_join(tokens(address), " ")
     for c in W.STATES:
         stripped = F.when(F.col(country) == c, without_states(address, c)).otherwise(stripped)
-    rows = entities.withColumn("__row", F.struct(*(F.col(f"`{x}`") for x in entities.columns))).select("__row", F.monotonically_increasing_id().alias("__k"), F.col(country).alias("__c"), stripped.alias("__a"))
-    seen = rows.where(F.col("__c").isin(*W.STATES)).select("__k", "__c", F.posexplode(F.split("__a", " ")).alias("__i", "token"))
-    hit = seen.join(lexicon.select(F.col("country").alias("__c"), "token").distinct(), ["__c", "token"]).groupBy("__k").agg(F.max_by("token", "__i").alias("__city"))
-    keyed = rows.join(hit, "__k", "left").select("__row.*", F.coalesce("__city", F.lit("")).alias("city"))
+    rows = entities.withColumn("__c", F.col(country)).withColumn("__a", stripped)
+    places = rows.where(F.col("__c").isin(*W.STATES)).select("__c", "__a").distinct()
+    seen = places.select("__c", "__a", F.posexplode(F.split("__a", " ")).alias("__i", "token"))
+    hit = seen.join(lexicon.select(F.col("country").alias("__c"), "token").distinct(), ["__c", "token"]).groupBy("__c", "__a").agg(F.max_by("token", "__i").alias("__city"))
+    keyed = rows.join(hit, ["__c", "__a"], "left").select(*(F.col(f"`{x}`") for x in entities.columns), F.coalesce("__city", F.lit("")).alias("city"))
     keyed = keyed.withColumn("house", house_number(address)).withColumn("postal", postal_code(address, country))
     both = (F.col("house") != "") & (F.col("city") != "")
     return keyed.withColumn("house_city", F.when(both, F.concat_ws("|", "house", "city")).otherwise(F.lit("")))
