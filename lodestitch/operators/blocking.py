@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import topk
 
 #: The bit of each channel; those of CORE come first, the others only add pairs that no core channel has.
 BITS = {"exact_name": 1, "name_char": 2, "address_char": 4, "house_city": 8, "translit_name": 16, "postal_code": 32, "name_token_sort": 64}
@@ -67,56 +68,16 @@ def tfidf_topk(
     """The `k` most similar targets of each query by the cosine of TF-IDF weighted character n-grams.
 
     Document frequencies are those of the targets, idf = ln((1 + N) / (1 + df)) + 1; n-grams that no target has count in
-    a query's length. The postings joined are those of n-grams in at most `max_df` targets; the best `pool` by them are
+    a query's length. The first score sums the postings of n-grams in at most `max_df` targets; the best `pool` by it are
     scored anew over all n-grams (pool None: the first score stands). Ties go to the first score, then the smaller id.
-    Scores are rounded to nine decimals, so that the order of summing decides no tie. A frequent n-gram's postings are
-    bounded by `max_df`; AQE splits what is still skewed.
+    Scores are rounded to nine decimals, so that the order of summing decides no tie. N-grams are told apart by 64-bit
+    hashes. See `topk` for how it runs.
     """
     if pool is not None and pool < k:
         raise ValueError("pool is smaller than k")
     col = F.col(column) if isinstance(column, str) else column
-
-    def counted(df: DataFrame, name: str) -> DataFrame:
-        rows = df.select(F.col("id").alias(name), "country", *(["source"] if name == "t" else []), col.alias("text"))
-        rows = rows.select(*(c for c in rows.columns if c != "text"), F.explode(grams("text", sizes)).alias("gram"))
-        keys = [c for c in rows.columns if c != "gram"]
-        return rows.groupBy(*keys, "gram").agg((F.lit(1.0) if binary else 1 + F.ln(F.count("*"))).alias("tf"))
-
-    total = targets.groupBy("source", "country").agg(F.count("*").alias("N"))
-    t = counted(targets, "t")
-    df = t.groupBy("source", "country", "gram").agg(F.count("*").alias("df"))
-    if min_df > 1:
-        df = df.where(F.col("df") >= min_df)
-    idf = F.ln((1 + F.col("N")) / (1 + F.coalesce("df", F.lit(0)))) + 1
-    tw = t.join(df, ["source", "country", "gram"]).join(F.broadcast(total), GROUP).select("source", "country", "t", "gram", "df", (F.col("tf") * idf).alias("w"))
-    q = counted(s1, "q").join(F.broadcast(total), "country").join(df, ["source", "country", "gram"], "left")
-    if min_df > 1:
-        q = q.where("df is not null")
-    qw = q.select("source", "country", "q", "gram", F.coalesce("df", F.lit(0)).alias("df"), (F.col("tf") * idf).alias("w"))
-
-    def unit(rows: DataFrame, key: str) -> DataFrame:
-        norm = rows.groupBy("source", "country", key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-        return rows.join(norm, ["source", "country", key]).withColumn("w", F.col("w") / F.col("norm")).drop("norm")
-
-    tw, qw = unit(tw, "t"), unit(qw, "q")
-    kept = (lambda x: x.where(F.col("df") <= max_df)) if max_df is not None else (lambda x: x)
-    pt, pq = kept(tw), kept(qw)
-    if renormalize:
-        pt, pq = unit(pt, "t"), unit(pq, "q")
-    post = pq.select("source", "country", "gram", "q", F.col("w").alias("wq")).join(pt.select("source", "country", "gram", "t", F.col("w").alias("wt")), ["source", "country", "gram"])
-    first = post.groupBy("source", "country", "q", "t").agg(F.round(F.sum(F.col("wq") * F.col("wt")), 9).alias("pruned")).where("pruned > 0")
-    by = Window.partitionBy("source", "country", "q").orderBy(F.desc("pruned"), "t")
-    if pool is None:
-        top = first.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).withColumn("score", F.col("pruned"))
-        return top.select(F.col("q").alias("s1_id"), F.col("source").alias("target_source"), F.col("t").alias("target_id"), "score", (F.col("rank") - 1).alias("rank"))
-    head = first.withColumn("r", F.row_number().over(by)).where(F.col("r") <= pool).drop("r")
-    of = lambda rows, key, w: rows.groupBy("source", "country", key).agg(F.map_from_entries(F.collect_list(F.struct("gram", "w"))).alias(w))
-    both = head.join(of(qw, "q", "qm"), ["source", "country", "q"]).join(of(tw, "t", "tm"), ["source", "country", "t"])
-    dot = F.aggregate(F.map_entries("qm"), F.lit(0.0), lambda a, e: a + e["value"] * F.coalesce(F.try_element_at(F.col("tm"), e["key"]), F.lit(0.0)))
-    scored = both.select("source", "country", "q", "t", "pruned", F.round(dot, 9).alias("score"))
-    again = Window.partitionBy("source", "country", "q").orderBy(F.desc("score"), F.desc("pruned"), "t")
-    top = scored.withColumn("rank", F.row_number().over(again)).where(F.col("rank") <= k)
-    return top.select(F.col("q").alias("s1_id"), F.col("source").alias("target_source"), F.col("t").alias("target_id"), "score", (F.col("rank") - 1).alias("rank"))
+    found = topk.search(s1, targets, grams(col, sizes), k, pool, max_df, binary, renormalize, min_df)
+    return found.select(F.col("q").alias("s1_id"), F.col("source").alias("target_source"), F.col("t").alias("target_id"), "score", "rank")
 
 
 def rare_tokens(s1: DataFrame, targets: DataFrame, max_frequency: int = 5000, max_tokens: int = 3, column: str = "norm_name") -> DataFrame:
@@ -140,7 +101,7 @@ def channels(s1: DataFrame, targets: DataFrame, which: tuple[str, ...] = tuple(B
         "name_char": lambda: sim("norm_name", o["name_k"]),
         "address_char": lambda: sim("norm_address", o["address_k"]),
         "house_city": lambda: equal_key(s1, targets, "house_city", o["max_block"]),
-        "translit_name": lambda: sim(T.transliterate("norm_name"), o["name_k"]),
+        "translit_name": lambda: sim(F.col("latin") if "latin" in s1.columns and "latin" in targets.columns else T.transliterate("norm_name"), o["name_k"]),
         "postal_code": lambda: equal_key(s1, targets, "postal", o["max_block"]),
         "name_token_sort": lambda: sorted_name(s1, targets, o["max_block"]),
     }

@@ -336,8 +336,8 @@ def stream_exact_links(spark, sf_dir):
 
 
 def _whole(spark, sf_dir):
-    rows = _keyed(spark, sf_dir)
-    return rows.where("source = 1"), rows.where("source > 1")
+    """Both sides with all that channels and pairs take, worked out once."""
+    return tuple(tables.stored(rows, "entities") for rows in pipeline.prepare(*views.sides(spark, sf_dir)))
 
 
 def _whole_channel(spark, sf_dir, name):
@@ -393,7 +393,7 @@ def _pairs(spark, sf_dir):
 
 
 def _whole_pairs(spark, sf_dir):
-    a, t = pipeline.prepare(*views.sides(spark, sf_dir))
+    a, t = _whole(spark, sf_dir)
     return features.pair_table(pipeline.candidate_pairs(a, t), a, t)
 
 

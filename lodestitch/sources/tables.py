@@ -5,12 +5,14 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
+from ..session import scratch_dir
 
 #: Columns of the entity and truth files, and the sources' codes.
 ENTITY_COLUMNS = ("entity_id", "business_name", "business_address", "country")
@@ -143,6 +145,14 @@ def require_all(keys: DataFrame, entities: DataFrame, on: str = "id") -> DataFra
     return found.where(ok).drop("__there")
 
 
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """`rows` written once to the folder that all executors share and read again, so that what reads them often doesn't work
+    them out anew and lost executors don't matter."""
+    path = f"{scratch_dir(rows.sparkSession)}/lodestitch-{name}-{uuid.uuid4().hex}"
+    rows.write.option("compression", "zstd").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def id_lists(s1: DataFrame, pairs: DataFrame, name: str = "matched_entity_ids") -> DataFrame:
     """(source1_entity_id, list) with a row for every S1; ids by source and number, comma-joined, '' without any."""
     one = pairs.groupBy("s1_id").agg(F.array_sort(F.collect_list(F.struct("target_source", "target_id"))).alias("x"))
@@ -151,9 +161,31 @@ def id_lists(s1: DataFrame, pairs: DataFrame, name: str = "matched_entity_ids")
 
 
 def write_lists(lists: DataFrame, path: str) -> None:
-    """TSV parts in the order of country and S1, each with a header; range partitioning keeps them in order without one task."""
+    """One TSV file `path` with a header, in the order of country and S1.
+
+    The lines are written in parts by range, without one task for all; the parts are then joined byte by byte into a file
+    beside `path`, which takes its place in one step. A file that is there already is replaced.
+    """
+    spark = lists.sparkSession
     order = [c for c in ("country", "s1_id") if c in lists.columns]
-    lists.repartitionByRange(*order).sortWithinPartitions(*order).drop(*order).write.mode("overwrite").csv(path, sep="\t", header=True, emptyValue="", quote="")
+    names = [c for c in lists.columns if c not in order]
+    parts = f"{path}.parts"
+    line = F.concat_ws("\t", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names))
+    lists.repartitionByRange(*order).sortWithinPartitions(*order).select(line.alias("value")).write.mode("overwrite").text(parts)
+    fs, folder = _hadoop(spark, parts)
+    target, new = (_hadoop(spark, x)[1] for x in (path, f"{path}.new"))
+    out = fs.create(new, True)
+    out.write(bytearray(("\t".join(names) + "\n").encode()))
+    files = sorted(x.getPath().toString() for x in fs.listStatus(folder) if x.getPath().getName().startswith("part-"))
+    for name in files:
+        got = fs.open(_hadoop(spark, name)[1])
+        spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(got, out, 1 << 20, False)
+        got.close()
+    out.close()
+    if fs.exists(target):
+        fs.delete(target, True)
+    fs.rename(new, target)
+    fs.delete(folder, True)
 
 
 def content_hash(rows: DataFrame) -> DataFrame:

@@ -65,8 +65,10 @@ def test_pipeline_end_to_end_resumes_and_refuses_another_config(spark, tiny, tmp
     assert tables.tables_equal(got["decisions"].select("s1_id", "target_source", "target_id"), got["features"].select("s1_id", "target_source", "target_id"))
     with pytest.raises(ValueError, match="another configuration"):
         pipeline.run(spark, s1, t, out, matcher, config=pipeline.Config(name_k=7), lexicon=lexicon)
-    read = spark.read.csv(f"{out}/matching_results", sep="\t", header=True)
-    assert read.count() == len(US1 + FR1)
+    lines = (tmp_path / "run/matching_results.tsv").read_text().splitlines()
+    assert lines[0] == "source1_entity_id\tmatched_entity_ids" and [x.split("\t")[0] for x in lines[1:]] == [f"S1-{i}" for i, *_ in FR1 + US1]
+    assert dict(x.split("\t") for x in lines[1:]) == lists
+    assert tables.exists(spark, f"{out}/candidate_pairs.tsv") and not tables.exists(spark, f"{out}/matching_results.tsv.parts")
     matcher.save(f"{out}/model", spark)
     back = models.Matcher.load(f"{out}/model", spark)
     assert back.columns == matcher.columns and tables.tables_equal(back.score(labelled).select("s1_id", "score"), matcher.score(labelled).select("s1_id", "score"))
