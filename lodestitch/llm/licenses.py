@@ -125,8 +125,8 @@ def scan_chunk(raw: np.ndarray, off: np.ndarray) -> list[tuple[int, list, list]]
             after = words[place:].count(" ") + edits + 2
             a, b = max(int(first[row]), word - before), min(int(first[row + 1]), word + after)
             stop = int(starts[b]) if b < int(first[row + 1]) else int(off[row + 1])
-            window = " ".join(plain[starts[a] : stop].decode("latin-1").split(" ")).strip()
-            window = " ".join(window.split())
+            # words begin and end at whole characters; a text's own bytes may still be no UTF-8
+            window = " ".join(filter(None, plain[starts[a] : stop].decode("utf-8", "replace").split(" ")))
             if m := verify(k, window):
                 s = a + window[: m[0]].count(" ") + (m[0] < len(window) and window[m[0]] == " ") - int(first[row])
                 e = a + window[: m[1]].rstrip(" ").count(" ") + 1 - int(first[row])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,9 +15,10 @@ from .common import chunks, cut, mix, n_partitions
 
 EDGE = " \t\n\x0b\x0c\r"
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-#: Keys that one cuckoo filter is laid out for, and the parts that a shard's lookups are dealt in.
+#: Keys that one cuckoo filter holds on average.
 SHARD_KEYS = 50_000
-SALTS = 16
+#: Tasks that lookups are dealt to, for each shuffle partition.
+TASKS = 2
 
 
 class CuckooFilter:
@@ -27,7 +29,7 @@ class CuckooFilter:
 
     def __init__(self, capacity: int) -> None:
         self.slots = np.zeros((1 << max(3, (max(1, capacity) // 3).bit_length()), 4), np.uint16)
-        self.stash: list[int] = []
+        self.stash: Counter[int] = Counter()
 
     @staticmethod
     def prints(keys: np.ndarray) -> np.ndarray:
@@ -61,12 +63,13 @@ class CuckooFilter:
                 return
         for at, slot, was in reversed(moved):
             self.slots[at, slot] = was
-        self.stash.append(int(key))
+        self.stash[int(key)] += 1
 
     def delete(self, key: int) -> bool:
         """Take out one copy of a key that was inserted."""
         if int(key) in self.stash:
-            self.stash.remove(int(key))
+            self.stash[int(key)] -= 1
+            self.stash = +self.stash
             return True
         p, a, b = (x[0] for x in self.places(np.array([key], np.uint64)))
         for at in (a, b):
@@ -79,17 +82,18 @@ class CuckooFilter:
     def contains(self, keys: np.ndarray) -> np.ndarray:
         p, a, b = self.places(keys)
         found = (self.slots[a] == p[:, None]).any(1) | (self.slots[b] == p[:, None]).any(1)
-        return found | np.isin(keys, np.array(self.stash, np.uint64)) if self.stash else found
+        return found | np.isin(keys, np.array(list(self.stash), np.uint64)) if self.stash else found
 
     def to_bytes(self) -> bytes:
-        return np.array([len(self.slots), len(self.stash)], np.int64).tobytes() + self.slots.tobytes() + np.array(self.stash, np.uint64).tobytes()
+        stash = np.array(sorted(self.stash.elements()), np.uint64)
+        return np.array([len(self.slots), len(stash)], np.int64).tobytes() + self.slots.tobytes() + stash.tobytes()
 
     @classmethod
     def from_bytes(cls, x: bytes) -> CuckooFilter:
         n, _ = np.frombuffer(x, np.int64, 2)
         out = cls.__new__(cls)
         out.slots = np.frombuffer(x, np.uint16, n * 4, 16).reshape(n, 4).copy()
-        out.stash = np.frombuffer(x, np.uint64, -1, 16 + n * 8).tolist()
+        out.stash = Counter(np.frombuffer(x, np.uint64, -1, 16 + n * 8).tolist())
         return out
 
 
@@ -138,7 +142,9 @@ class LineIndex:
     """Reference counts (hi, lo, n_docs) of all line keys, and the cuckoo filters (shard, blob) of those in `min_docs` or more.
 
     The counts are exact and decide; the filters only spare lookups. `insert` and `delete` give a new index; deleting
-    the documents that were inserted brings back the counts and filters' contents as they were. Documents count by row.
+    the documents that were inserted brings back the counts, and filters that hold the same keys. Filters are changed in
+    place as long as a shard holds between a quarter and twice the keys that it was laid out for on average, else all
+    are dealt anew from the counts. Documents count by row.
     """
 
     def __init__(self, counts: DataFrame, filters: DataFrame, shards: int, min_docs: int) -> None:
@@ -151,15 +157,19 @@ class LineIndex:
 
     @classmethod
     def build(cls, docs: DataFrame, min_docs: int = 10, doc_id: str = "doc_id", text: str = "text") -> LineIndex:
-        counts = cut(cls._count(docs, doc_id, text), "linecounts")
+        return cls._laid_out(cut(cls._count(docs, doc_id, text), "linecounts"), min_docs)
+
+    @classmethod
+    def _laid_out(cls, counts: DataFrame, min_docs: int) -> LineIndex:
         hot = counts.where(F.col("n_docs") >= min_docs)
-        shards = max(1, -(-hot.count() // SHARD_KEYS))
-        filters = cls._apply(docs.sparkSession, None, hot.select("hi", "lo", F.lit(1).alias("sign")), shards)
+        n = hot.count()
+        shards = max(1, -(-n // SHARD_KEYS))
+        filters = cls._apply(counts.sparkSession, None, hot.select("hi", "lo", F.lit(1).alias("sign")), shards, -(-n // shards))
         return cls(counts, filters, shards, min_docs)
 
     @staticmethod
-    def _apply(spark, filters: DataFrame | None, changes: DataFrame, shards: int) -> DataFrame:
-        """The filters after the changes (hi, lo, sign); each shard is one group, laid out for SHARD_KEYS keys."""
+    def _apply(spark, filters: DataFrame | None, changes: DataFrame, shards: int, keys: int) -> DataFrame:
+        """The filters after the changes (hi, lo, sign); each shard is one group, laid out for twice `keys` keys."""
         rows = changes.select(F.pmod("hi", F.lit(shards)).alias("shard"), F.lit(1).alias("side"), "lo", "sign", F.lit(None).cast("binary").alias("blob"))
         if filters is not None:
             rows = rows.union(filters.select("shard", F.lit(0), F.lit(None).cast("long"), F.lit(None).cast("int"), "blob"))
@@ -177,7 +187,7 @@ class LineIndex:
                     if r["side"] == 0:
                         held = CuckooFilter.from_bytes(r["blob"])
                         continue
-                    held = held or CuckooFilter(2 * SHARD_KEYS if shards > 1 else SHARD_KEYS)
+                    held = held or CuckooFilter(2 * keys)
                     key = r["lo"] & 0xFFFFFFFFFFFFFFFF
                     held.insert(key) if r["sign"] > 0 else held.delete(key)
             if held is not None:
@@ -191,9 +201,14 @@ class LineIndex:
         both = self.counts.join(delta, ["hi", "lo"], "full").select("hi", "lo", old.alias("was"), F.greatest(old + new, F.lit(0)).alias("n_docs"))
         both = cut(both, "linecounts")
         least = self.min_docs
-        step = both.select("hi", "lo", ((F.col("n_docs") >= least).cast("int") - (F.col("was") >= least).cast("int")).alias("sign")).where("sign <> 0")
-        filters = self._apply(docs.sparkSession, self.filters, step, self.shards)
-        return LineIndex(both.where("n_docs > 0").select("hi", "lo", "n_docs"), filters, self.shards, least)
+        counts = both.where("n_docs > 0").select("hi", "lo", "n_docs")
+        is_hot, was_hot = F.col("n_docs") >= least, F.col("was") >= least
+        n, old_n = both.agg(F.count_if(is_hot), F.count_if(was_hot)).first()
+        shards = max(1, -(-n // SHARD_KEYS))
+        if not old_n or n > 2 * old_n or not self.shards / 2 <= shards <= 2 * self.shards:
+            return self._laid_out(counts, least)
+        step = both.select("hi", "lo", (is_hot.cast("int") - was_hot.cast("int")).alias("sign")).where("sign <> 0")
+        return LineIndex(counts, self._apply(docs.sparkSession, self.filters, step, self.shards, -(-n // self.shards)), self.shards, least)
 
     def insert(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> LineIndex:
         return self._changed(docs, 1, doc_id, text)
@@ -203,14 +218,16 @@ class LineIndex:
 
     def dropped(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
         """(doc, h, lines): the places of the lines to drop. The filters pass candidates, the counts confirm them."""
-        spark = docs.sparkSession
+        # as many (shard, salt) keys as there are tasks: more partitions make more salts, so no shard's lookups pile up
+        tasks = TASKS * n_partitions(docs.sparkSession)
+        salts = max(1, -(-tasks // self.shards))
         seen = _texts(docs, doc_id, text).mapInArrow(_keys(True), "hi long, lo long, doc long, h long, line int")
         shard = F.pmod("hi", F.lit(self.shards)).alias("shard")
-        salt = F.pmod(F.xxhash64("doc", "line"), F.lit(SALTS)).cast("int").alias("salt")
+        salt = F.pmod(F.xxhash64("doc", "line"), F.lit(salts)).cast("int").alias("salt")
         none = F.lit(None)
         asked = seen.select(shard, salt, F.lit(1).alias("side"), "hi", "lo", "doc", "h", "line", none.cast("binary").alias("blob"))
-        copies = self.filters.select("shard", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(0).alias("side"), none.cast("long").alias("hi"), none.cast("long").alias("lo"), none.cast("long").alias("doc"), none.cast("long").alias("h"), none.cast("int").alias("line"), "blob")
-        rows = copies.union(asked).repartition(max(n_partitions(spark), SALTS), "shard", "salt").sortWithinPartitions("shard", "salt", "side")
+        copies = self.filters.select("shard", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("side"), none.cast("long").alias("hi"), none.cast("long").alias("lo"), none.cast("long").alias("doc"), none.cast("long").alias("h"), none.cast("int").alias("line"), "blob")
+        rows = copies.union(asked).repartition(n_partitions(docs.sparkSession), "shard", "salt").sortWithinPartitions("shard", "salt", "side")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             now, held = None, None

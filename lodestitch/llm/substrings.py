@@ -16,6 +16,8 @@ ROUNDS = 4
 FAR = 1 << 40
 #: Windows that one row of the exchange carries at most, and the bits of a text's hash that tell rows of one doc_id apart.
 CARRIED = 32
+#: Repeated windows that a task remembers (16 bytes each); forgetting some only sends more rows.
+REMEMBERED = 500_000
 TEXT_BITS = 26
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -107,11 +109,13 @@ def window_keys(h: np.ndarray, row: np.ndarray, width: int, rounds: int = ROUNDS
 def _anchored(width: int):
     """(key, doc, pos, windows): a row for each stretch of windows of one key, with 32 bits of each window's own hash.
 
-    Windows that a smaller doc_id of the same chunk has too are settled at once; they travel as rows without windows,
-    with their mask in the key. So of a passage that very many documents share, each chunk sends the first only.
+    Windows that a smaller doc_id of the same chunk has too are settled at once, and so are those that a chunk before it
+    in the task had more than once; they travel as rows without windows, dealt by hash. So of a passage that very many
+    documents share, a task sends little more than the first, and its key's rows grow with tasks, not with documents.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, sent = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # windows that repeated in a chunk, and the smallest doc sent
         for b in chunks(batches, most=5_000_000):
             h, first = word_hashes(*text_bytes(b.column("text")))
             n = len(h) - width + 1
@@ -126,7 +130,19 @@ def _anchored(width: int):
             w = own[at][order]
             new = np.ones(len(w), bool)
             new[1:] = w[1:] != w[:-1]
-            least = np.repeat(doc[order][new], np.diff(np.append(np.flatnonzero(new), len(w)))) if len(w) else doc
+            head = np.flatnonzero(new)
+            size = np.diff(np.append(head, len(w)))
+            low = doc[order][head]
+            if len(common):
+                k = np.minimum(np.searchsorted(common, w[head]), len(common) - 1)
+                known = common[k] == w[head]
+                low[known] = np.minimum(low[known], sent[k[known]])
+            often = size > 1
+            common, sent = _smallest(np.concatenate([common, w[head][often]]), np.concatenate([sent, low[often]]))
+            if len(common) > REMEMBERED:  # the half of the smallest documents, which settle most
+                keep = np.sort(np.argpartition(sent, REMEMBERED // 2)[: REMEMBERED // 2])
+                common, sent = common[keep], sent[keep]
+            least = np.repeat(low, size)
             settled = np.zeros(len(at), bool)
             settled[order] = doc[order] > least
             for part, done in ((at[~settled], False), (at[settled], True)):
@@ -159,12 +175,21 @@ def _anchored(width: int):
     return run
 
 
+def _smallest(windows: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different windows in order, and the smallest doc of each."""
+    order = np.lexsort((docs, windows))
+    windows, docs = windows[order], docs[order]
+    new = np.ones(len(windows), bool)
+    new[1:] = windows[1:] != windows[:-1]
+    return windows[new], docs[new]
+
+
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc, h, start, mask): windows that a smaller doc_id has too. Rows come sorted by key and doc.
 
-    Only the windows of the key at the end of a batch are remembered for the next.
+    Only the windows of the key at the end of a batch are remembered for the next, 12 bytes for each different one.
     """
-    carried_key, carried = None, {}
+    carried_key, seen, first = None, np.zeros(0, np.uint32), np.zeros(0, np.int64)
     for b in batches:
         if not b.num_rows:
             continue
@@ -187,18 +212,17 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             new[1:] = f[1:] != f[:-1]
             least = np.empty(len(w), np.int64)
             least[order] = np.repeat(doc[who][order][new], np.diff(np.append(np.flatnonzero(new), len(f))))
-            if carried_key is not None and key[0] == carried_key:
-                for i in np.flatnonzero(key[who] == carried_key).tolist():
-                    least[i] = min(least[i], carried.get(int(w[i]), FAR << 20))
+            if carried_key is not None and key[live[0]] == carried_key:
+                mine = np.flatnonzero(key[who] == carried_key)
+                at = np.minimum(np.searchsorted(seen, w[mine]), len(seen) - 1)
+                known = seen[at] == w[mine]
+                least[mine[known]] = np.minimum(least[mine[known]], first[at[known]])
             gone = doc[who] > least
             np.bitwise_or.at(mask, who[gone], np.int64(1) << place[gone])
             if key[live[-1]] != carried_key:
-                carried_key, carried = int(key[live[-1]]), {}
+                carried_key, seen, first = key[live[-1]], np.zeros(0, np.uint32), np.zeros(0, np.int64)
             tail = np.flatnonzero(key[who] == carried_key)
-            for i in tail.tolist():
-                x = int(w[i])
-                if (d := int(least[i])) < carried.get(x, FAR << 20):
-                    carried[x] = d
+            seen, first = _smallest(np.concatenate([seen, w[tail]]), np.concatenate([first, least[tail]]))
         on = mask != 0
         p = pos[on]
         yield pa.RecordBatch.from_arrays(
@@ -232,14 +256,14 @@ def _applied(width: int, digests: bool):
     return run
 
 
-NO_ID = (1 << 62) - 1
+NO_ID = (1 << 63) - 1
 
 
 def removals(docs: DataFrame, width: int = 13) -> DataFrame:
     """(doc, h, start, mask): for windows of `width` words whose words also start in a document of smaller doc_id, where they start.
 
-    h tells apart rows that share a doc_id; such rows don't remove one another's words. A null doc_id counts as larger
-    than all others.
+    h tells apart rows that share a doc_id; such rows don't remove one another's words. A null doc_id counts as the
+    largest number there is.
     """
     spark = docs.sparkSession
     n = n_partitions(spark)
@@ -254,9 +278,9 @@ def dedup(docs: DataFrame, width: int = 13, digests: bool = False, doc_id: str =
     Other columns are left out. Words are compared by 64-bit hashes, windows by over 80 bits of two hashes.
     """
     h = F.pmod(F.xxhash64(F.col(text)), F.lit(1 << TEXT_BITS)).alias("h")
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc"), h, F.col(text).alias("text"))
-    marks = removals(rows, width).groupBy("doc", "h").agg(F.collect_list("start").alias("starts"), F.collect_list("mask").alias("masks"))
-    both = rows.join(marks, ["doc", "h"], "left").select(F.nullif("doc", F.lit(NO_ID)).alias("doc_id"), "text", "starts", "masks")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc"), h, F.col(text).alias("text"))
+    marks = removals(rows.select("doc", "h", "text"), width).groupBy("doc", "h").agg(F.collect_list("start").alias("starts"), F.collect_list("mask").alias("masks"))
+    both = rows.join(marks, ["doc", "h"], "left").select("doc_id", "text", "starts", "masks")
     return both.mapInArrow(_applied(width, digests), "doc_id long, n_words long, n_removed long, result string")
 
 
