@@ -532,6 +532,39 @@ def test_pieces_without_dropout_are_the_models_own(corpus):
 def test_full_dropout_merges_nothing():
     enc = pieces.DropoutEncoder(pieces.model_file(), 1.0)
     assert enc.segment("▁hello", 0) == list("▁hello")
+    assert np.frombuffer(enc.encode("hello"), np.uint32).tolist() == enc.piece_ids(list("▁hello"))
+
+
+@pytest.mark.parametrize("dropout", [0.05, 0.3, 0.7])
+def test_pieces_equal_one_agenda_at_a_time(corpus, dropout):
+    enc = pieces.DropoutEncoder(pieces.model_file(), dropout, 9)
+    texts = [r[1] or "" for r in corpus if len(r[1] or "") < 3000] + ["internationalization " * 9, "y" * 61 + " " + "ab" * 31 + " " + "z" * 200]
+    salts = list(range(5, 5 + len(texts)))
+    for text, salt, got in zip(texts, salts, enc.encode_many(texts, salts)):
+        want = []
+        for k, u in enumerate(enc.units_of(text)):
+            want += [enc.byte[b] for b in "▁".encode()] if u == pieces.MARK else enc.piece_ids(plain_agenda(enc, u, enc.key(salt, k)))
+        assert np.frombuffer(got, np.uint32).tolist() == want, text
+
+
+def plain_agenda(enc, unit, key):
+    """Without a heap: again and again the best pair of neighbours that isn't skipped."""
+    parts, at = list(unit), list(range(len(unit)))
+    while True:
+        free = [(enc.rank[x + y], at[i], i) for i, (x, y) in enumerate(zip(parts, parts[1:])) if x + y in enc.rank and not enc.skipped(key, at[i], len(x + y))]
+        if not free:
+            return parts
+        i = min(free)[2]
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        del at[i + 1]
+
+
+def test_every_occurrence_of_a_word_draws_anew():
+    enc = pieces.DropoutEncoder(pieces.model_file(), 0.2)
+    ids = np.frombuffer(enc.encode("internationalization " * 400), np.uint32)
+    assert enc.decode(ids) == "internationalization " * 400
+    seen = {tuple(enc.segment("▁internationalization", enc.key(0, k))) for k in range(400)}
+    assert len(seen) > 20
 
 
 def test_empty_tables(spark):
