@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,10 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, n_partitions
+from .common import components, cut, min_labels, n_partitions
 
 #: Rows of a bucket that one task compares at once; larger buckets are split in blocks and compared block against block.
 BLOCK = 4096
+#: Sign bits of a vector's sketch.
+SKETCH = 128
 
 
 def rotations(dim: int, n: int, seed: int) -> np.ndarray:
@@ -85,7 +88,33 @@ def _valid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([ids, labels, pa.array([x.tobytes() for x in got], pa.binary())], names=["id", "label", "vec"])
 
 
+def sketches(unit: np.ndarray, seed: int) -> np.ndarray:
+    """n x 2 words of SKETCH sign bits of rotated vectors."""
+    n, dim = unit.shape
+    d = 1 << max(1, (dim - 1).bit_length())
+    signs = rotations(dim, -(-SKETCH // d), seed + 1)
+    wide = np.zeros((n, d))
+    wide[:, :dim] = unit
+    bits = []
+    for s in signs:
+        x = wide
+        for sign in s:
+            x = hadamard(x * sign)
+        bits.append(x < 0)
+    return np.packbits(np.concatenate(bits, axis=1)[:, :SKETCH], axis=1).view(np.uint64)
+
+
+def most_differ(dim: int, threshold: float) -> int:
+    """How many sketch bits differ at most for a pair to be compared: five standard deviations over those expected at the
+    threshold, taking bits of one rotation as so many independent draws as it has dimensions."""
+    p = math.acos(max(-1.0, min(1.0, threshold))) / math.pi
+    d = 1 << max(1, (dim - 1).bit_length())
+    return SKETCH if d < 16 else math.ceil(SKETCH * p + 5 * math.sqrt(SKETCH * p * (1 - p)))
+
+
 def _hashed(tables: int, probes: int, seed: int):
+    """(dim, label, h1, h2, rep, n, vec, codes, sketch, buckets) of each class: hashed once, read by all that follows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
@@ -96,31 +125,101 @@ def _hashed(tables: int, probes: int, seed: int):
                     by_dim.setdefault(len(x) // 8, []).append(i)
                 for dim, rows in by_dim.items():
                     x = np.frombuffer(b"".join(blobs[i] for i in rows), dtype=np.float64).reshape(-1, dim)
-                    peak = np.abs(x).max(axis=1, keepdims=True)
-                    x = x / peak
-                    codes = polytope_codes(x / np.linalg.norm(x, axis=1, keepdims=True), tables, probes, seed)
+                    x = x / np.abs(x).max(axis=1, keepdims=True)
+                    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+                    codes, sketch = polytope_codes(x, tables, probes, seed), sketches(x, seed)
+                    key = ((np.arange(tables, dtype=np.int64)[None, :, None] << 40) + codes).reshape(len(rows), -1)
                     part = b.take(pa.array(rows))
-                    # one row for each table and different bucket
-                    n = len(rows)
-                    key = (np.arange(tables, dtype=np.int64)[None, :, None] << 40) + codes
-                    flat = key.reshape(n, -1)
-                    order = np.sort(flat, axis=1)
-                    first = np.ones_like(order, bool)
-                    first[:, 1:] = order[:, 1:] != order[:, :-1]
-                    r, c = np.nonzero(first)
-                    take = pa.array(r)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(order[r, c]),
-                            pa.array(np.full(len(r), dim, np.int32)),
-                            part.column("label").take(take),
-                            part.column("rep").take(take),
-                            part.column("n").take(take),
-                            part.column("vec").take(take),
-                            pa.array([codes[i].tobytes() for i in range(n)], pa.binary()).take(take),
-                        ],
-                        names=["bucket", "dim", "label", "rep", "n", "vec", "codes"],
-                    )
+                    kept = [part.column(c) for c in ("label", "h1", "h2", "rep", "n", "vec")]
+                    new = [pa.array([c.tobytes() for c in codes], pa.binary()), pa.array([c.tobytes() for c in sketch], pa.binary()), pa.array([np.unique(k) for k in key], pa.list_(pa.int64()))]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), dim, np.int32)), *kept, *new], names=["dim", "label", "h1", "h2", "rep", "n", "vec", "codes", "sketch", "buckets"])
+
+    return run
+
+
+KEY = ("bucket", "dim", "label", "bi", "bj")
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole groups (rows come sorted by KEY), of some tens of thousands of rows; no group is split."""
+    rest: list[pa.RecordBatch] = []
+    held = 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        rest.append(b)
+        held += b.num_rows
+        if held < 20_000:
+            continue
+        t = pa.Table.from_batches(rest).combine_chunks()
+        first = _starts(t)
+        if len(first) > 1:
+            yield t.slice(0, int(first[-1]))
+            t = t.slice(int(first[-1]))
+        rest, held = t.combine_chunks().to_batches(), t.num_rows
+    if rest:
+        yield pa.Table.from_batches(rest).combine_chunks()
+
+
+def _starts(t: pa.Table) -> np.ndarray:
+    """Where groups begin."""
+    new = np.zeros(t.num_rows, bool)
+    new[0] = True
+    for c in KEY:
+        x = t.column(c).combine_chunks()
+        x = x.dictionary_encode().indices.to_numpy() if c == "label" else x.to_numpy()
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
+def _words(col: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(col.to_pylist()), np.uint64).reshape(len(col), -1)
+
+
+def _live(threshold: float):
+    """(bucket, dim, label, bi, bj, rep, side) of the rows of a block pair that have another row there whose sketch is near.
+
+    Small groups are compared all at once, pair lists being bounded; large ones sketch block against sketch block.
+    """
+
+    def near(words: np.ndarray, i: np.ndarray, j: np.ndarray, most: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(words[i] ^ words[j]).sum(axis=1) <= most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches):
+            words, side = _words(t.column("sketch")), t.column("side").combine_chunks().to_numpy()
+            dims = t.column("dim").combine_chunks().to_numpy()
+            most = {int(d): most_differ(int(d), threshold) for d in np.unique(dims)}
+            bound = np.array([most[int(d)] for d in dims])
+            split = t.column("bi").combine_chunks().to_numpy() != t.column("bj").combine_chunks().to_numpy()
+            first = _starts(t)
+            size = np.diff(np.append(first, t.num_rows))
+            live = np.zeros(t.num_rows, bool)
+            small = np.flatnonzero((size > 1) & (size <= 64))
+            # rows of small groups with the 1st, 2nd, ... row after them in the group
+            rank = np.arange(t.num_rows) - np.repeat(first, size)
+            left = np.repeat(size, size) - rank - 1
+            rows = np.flatnonzero(np.repeat((size > 1) & (size <= 64), size))
+            for step in range(1, int(size[small].max(initial=1))):
+                i = rows[left[rows] >= step]
+                j = i + step
+                on = ~split[i] | (side[i] != side[j])
+                i, j = i[on], j[on]
+                hit = near(words, i, j, bound[i])
+                live[i[hit]] = live[j[hit]] = True
+            for g in np.flatnonzero(size > 64).tolist():
+                a, e = int(first[g]), int(first[g] + size[g])
+                rows_l = np.arange(a, e)[side[a:e] == 0] if split[a] else np.arange(a, e)
+                rows_r = np.arange(a, e)[side[a:e] == 1] if split[a] else rows_l
+                for k in range(0, len(rows_l), 256):
+                    x = rows_l[k : k + 256]
+                    differ = sum(np.bitwise_count(words[x, w][:, None] ^ words[rows_r, w][None, :]).astype(np.int16) for w in range(words.shape[1]))
+                    hit = differ <= bound[a]
+                    hit &= x[:, None] != rows_r[None, :]
+                    live[x[hit.any(axis=1)]] = True
+                    live[rows_r[hit.any(axis=0)]] = True
+            if live.any():
+                yield from t.select([*KEY, "rep", "side"]).filter(pa.array(live)).to_batches()
 
     return run
 
@@ -128,11 +227,11 @@ def _hashed(tables: int, probes: int, seed: int):
 def _compare(tables: int, probes: int, threshold: float):
     """Links inside blocks of buckets; a pair counts in the first bucket where it meets, and nowhere else."""
 
-    def unpack(rows: list[dict]) -> tuple:
-        x = np.frombuffer(b"".join(r["vec"] for r in rows), dtype=np.float64).reshape(len(rows), -1)
+    def unpack(t: pa.Table, dim: int) -> tuple:
+        x = np.frombuffer(b"".join(t.column("vec").to_pylist()), dtype=np.float64).reshape(-1, dim)
         x = x / np.abs(x).max(axis=1, keepdims=True)
-        codes = np.frombuffer(b"".join(r["codes"] for r in rows), dtype=np.int32).reshape(len(rows), tables, probes)
-        return np.array([r["rep"] for r in rows]), np.array([r["n"] for r in rows]), x / np.linalg.norm(x, axis=1, keepdims=True), codes
+        codes = np.frombuffer(b"".join(t.column("codes").to_pylist()), dtype=np.int32).reshape(t.num_rows, tables, probes)
+        return t.column("rep").to_numpy(), t.column("n").to_numpy(), x / np.linalg.norm(x, axis=1, keepdims=True), codes
 
     def first_here(a: np.ndarray, b: np.ndarray, table: int, code: int) -> np.ndarray:
         meet = a[:, :, :, None] == b[:, :, None, :]  # pairs x tables x probes x probes
@@ -140,12 +239,12 @@ def _compare(tables: int, probes: int, threshold: float):
         lower = (meet[:, table].any(axis=2) & (a[:, table] < code)).any(axis=1)
         return ~earlier & ~lower
 
-    def block(left: list[dict], right: list[dict] | None, bucket: int) -> Iterator[tuple]:
-        ids, n, x, codes = unpack(left)
-        ids2, n2, x2, codes2 = unpack(right) if right is not None else (ids, n, x, codes)
+    def block(left: tuple, right: tuple | None, bucket: int) -> list[pa.RecordBatch]:
+        ids, n, x, codes = left
+        ids2, n2, x2, codes2 = right if right is not None else left
         table, code = bucket >> 40, bucket & ((1 << 40) - 1)
-        count, low = np.zeros(len(ids), np.int64), ids.copy()
-        count2, low2 = np.zeros(len(ids2), np.int64), ids2.copy()
+        count, count2 = np.zeros(len(ids), np.int64), np.zeros(len(ids2), np.int64)
+        out = []
         for at in range(0, len(ids), 512):
             i, j = np.nonzero(x[at : at + 512] @ x2.T >= threshold)
             i += at
@@ -155,51 +254,37 @@ def _compare(tables: int, probes: int, threshold: float):
                 a, b = i[k : k + 20_000], j[k : k + 20_000]
                 here = first_here(codes[a], codes2[b], table, code)
                 a, b = a[here], b[here]
+                if not len(a):
+                    continue
                 np.add.at(count, a, n2[b])
                 np.add.at(count2, b, n[a])
-                np.minimum.at(low, a, ids2[b])
-                np.minimum.at(low2, b, ids[a])
-                # each row keeps a link to its smallest partner; the others follow through the smallest partner's row
-                yield from zip(*spanning(ids[a], ids2[b]), strict=True)
+                # a tree of links for each part, as components need no more
+                nodes, root = min_labels(ids[a], ids2[b])
+                on = nodes != root
+                out.append(batch(nodes[on], np.zeros(on.sum(), np.int64), root[on]))
         for who, c in ((ids, count), (ids2, count2)):
             on = c > 0
-            yield from zip(who[on].tolist(), c[on].tolist(), [None] * int(on.sum()), strict=True)
-
-    def spanning(a: np.ndarray, b: np.ndarray) -> tuple:
-        from .common import min_labels
+            out.append(batch(who[on], c[on], None))
+        return out
 
-        if not len(a):
-            return [], [], []
-        nodes, root = min_labels(a, b)
-        on = nodes != root
-        return nodes[on].tolist(), [0] * int(on.sum()), root[on].tolist()
+    def batch(ids: np.ndarray, links: np.ndarray, root: np.ndarray | None) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(links, pa.int64()), pa.array(root, pa.int64()) if root is not None else pa.nulls(len(ids), pa.int64())], names=["id", "links", "root"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by bucket, dim, label and block pair."""
-
-        def done(key: tuple, rows: list[dict]) -> list[tuple]:
-            if key is None or len(rows) < 2:
-                return []
-            if key[3] == key[4]:
-                return list(block(rows, None, key[0]))
-            left, right = [r for r in rows if r["side"] == 0], [r for r in rows if r["side"] == 1]
-            return list(block(left, right, key[0])) if left and right else []
-
-        key, rows = None, []
-        for b in batches:
-            out: list[tuple] = []
-            for r in b.to_pylist():
-                k = (r["bucket"], r["dim"], r["label"], r["bi"], r["bj"])
-                if k != key:
-                    out += done(key, rows)
-                    key, rows = k, []
-                rows.append(r)
-            yield batch(out)
-        yield batch(done(key, rows))
-
-    def batch(rows: list[tuple]) -> pa.RecordBatch:
-        cols = list(zip(*rows, strict=True)) if rows else [[], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["id", "links", "root"])
+        for t in _groups(batches):
+            first = _starts(t)
+            for a, e in zip(first.tolist(), [*first[1:].tolist(), t.num_rows], strict=True):
+                if e - a < 2:
+                    continue
+                g = t.slice(a, e - a)
+                dim, bucket = g.column("dim")[0].as_py(), g.column("bucket")[0].as_py()
+                if g.column("bi")[0].as_py() == g.column("bj")[0].as_py():
+                    yield from block(unpack(g, dim), None, bucket)
+                    continue
+                side = g.column("side").to_numpy()
+                left, right = (g.filter(pa.array(side == k)) for k in (0, 1))
+                if left.num_rows and right.num_rows:
+                    yield from block(unpack(left, dim), unpack(right, dim), bucket)
 
     return run
 
@@ -211,41 +296,50 @@ def near_duplicates(
     """(id, n_links, component_id, kept) for every row: links are pairs with one label and a cosine of `threshold` or more.
 
     Equal vectors of one label form a class and travel as one row with their number; links are found between classes and
-    counted with the classes' sizes. A vector that is null, empty, zero or holds null or non-finite components links with
+    counted with the classes' sizes. Classes go to their buckets as ids with a sketch of 128 sign bits; only members that
+    have a near sketch in the bucket are sent there again with their vectors, and compared. Buckets of over `block` rows
+    are dealt as pairs of blocks. A vector that is null, empty, zero or holds null or non-finite components links with
     nothing, nor does one without a label; vectors of different lengths never link. Rows with a null id are left out.
-    Rows that repeat an id are one row (their smallest vector counts). Other columns are ignored.
+    Rows that repeat an id are one row (one of their vectors counts, by the smallest hash). Other columns are ignored.
     """
     spark = df.sparkSession
+    n_parts = n_partitions(spark)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vec_col).cast("array<double>").alias("vec")).where("id is not null")
-    everyone = rows.select("id").distinct()
     usable = rows.where("label is not null").mapInArrow(_valid, "id long, label string, vec binary")
-    usable = usable.groupBy("id").agg(F.min(F.struct("vec", "label")).alias("x")).select("id", "x.label", "x.vec")
-    members = cut(usable.withColumn("h", F.sha2("vec", 256)), "members")
-    classes = cut(members.groupBy("label", "h").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.min("vec").alias("vec")), "classes")
-    hashed = classes.select("label", "rep", "n", "vec").mapInArrow(
-        _hashed(tables, probes, seed), "bucket long, dim int, label string, rep long, n long, vec binary, codes binary"
-    )
+    usable = usable.select("id", "label", F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit(17), "vec").alias("h2"), "vec")
+    # a class is told by its label and 128 bits of hashes; ids travel without their vectors
+    one = ["label", "h1", "h2"]
+    members = cut(usable.groupBy("id").agg(F.min(F.struct("h1", "h2", "label")).alias("x")).select("id", "x.*"), "members")
+    sizes = members.groupBy(*one).agg(F.min("id").alias("rep"), F.count("*").alias("n"))
+    grouped = sizes.join(usable.groupBy(*one).agg(F.min("vec").alias("vec")), one)
+    kind = "dim int, label string, h1 long, h2 long, rep long, n long, vec binary, codes binary, sketch binary, buckets array<long>"
+    classes = cut(grouped.select(*one, "rep", "n", "vec").mapInArrow(_hashed(tables, probes, seed), kind), "classes")
+    spread = classes.select(F.explode("buckets").alias("bucket"), "dim", "label", "rep", "sketch")
     key = ["bucket", "dim", "label"]
     # Buckets of more than `block` rows: each row goes to the pairs of its block with every block of the bucket.
-    large = hashed.groupBy(*key).count().where(F.col("count") > block).select(*key, F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-    spread = hashed.join(cut(large, "large"), key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    large = cut(spread.groupBy(*key).count().where(F.col("count") > block).select(*key, F.ceil(F.col("count") / block).cast("int").alias("blocks")), "large")
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    spread = spread.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("*", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"))
-    spread = spread.withColumn("side", (F.col("own") != F.col("bi")).cast("int")).drop("own", "other", "blocks")
-    key += ["bi", "bj"]
-    found = spread.repartition(n_partitions(spark), *key).sortWithinPartitions(*key).mapInArrow(_compare(tables, probes, threshold), "id long, links long, root long")
+    if large.limit(1).count():
+        spread = spread.join(large, key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", own)
+        spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    else:
+        spread = spread.withColumns({"own": F.lit(0), "other": F.lit(0)})
+    spread = spread.select(*key, "rep", "sketch", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"))
+    sorted_ = lambda x: x.repartition(n_parts, *KEY).sortWithinPartitions(*KEY)
+    live = sorted_(spread).mapInArrow(_live(threshold), "bucket long, dim int, label string, bi int, bj int, rep long, side int")
+    live = cut(live, "live")
+    found = sorted_(live.join(classes.select("rep", "n", "vec", "codes"), "rep")).mapInArrow(_compare(tables, probes, threshold), "id long, links long, root long")
     found = cut(found, "links")
     comp = components(found.where("root is not null").select("id", "root"))
     counts = found.where("root is null").groupBy("id").agg(F.sum("links").alias("links"))
     by_class = (
-        classes.select("label", "h", "rep", "n")
+        classes.select(*one, "rep", "n")
         .join(counts.withColumnRenamed("id", "rep"), "rep", "left")
         .join(comp.withColumnRenamed("id", "rep"), "rep", "left")
-        .select("label", "h", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+        .select(*one, (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     )
-    linked = members.select("id", "label", "h").join(by_class, ["label", "h"]).select("id", "n_links", "component_id")
-    out = everyone.join(linked, "id", "left").select(
+    linked = members.join(by_class, one).select("id", "n_links", "component_id")
+    out = rows.select("id").distinct().join(linked, "id", "left").select(
         F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id")
     )
     return out.withColumn("kept", F.col(id_col) == F.col("component_id"))

@@ -49,6 +49,38 @@ def test_links_equal_brute_force(spark, block):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("block", [4096, 50])
+def test_links_near_the_threshold_by_the_querys_setting(spark, block):
+    rng = np.random.default_rng(21)
+    base = rng.normal(size=(120, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    rows = []
+    for i, x in enumerate(base):
+        for k in range(4):  # cosines to the base from 0.90 to 0.99
+            y = rng.normal(size=64)
+            y -= (y @ x) * x
+            c = rng.uniform(0.90, 0.99)
+            rows.append((4 * i + k, (x if k == 0 else c * x + np.sqrt(1 - c * c) * y / np.linalg.norm(y)).tolist(), i % 2))
+    rows += [(1000 + k, (base[0] + 0.02 * rng.normal(size=64)).tolist(), 0) for k in range(200)]  # a dense group
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    want = brute(rows)
+    assert sum(n for n, _ in want.values()) > 10_000
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in neardup_vectors.near_duplicates(df, block=block).collect()}
+    assert got == want
+
+
+def test_sketches_pass_pairs_at_the_threshold():
+    rng = np.random.default_rng(22)
+    for dim in (16, 64, 100, 768):
+        x, y = rng.normal(size=(2, 3000, dim))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        y -= (x * y).sum(axis=1, keepdims=True) * x
+        y /= np.linalg.norm(y, axis=1, keepdims=True)
+        z = 0.93 * x + np.sqrt(1 - 0.93**2) * y
+        differ = np.bitwise_count(neardup_vectors.sketches(x, 7) ^ neardup_vectors.sketches(z, 7)).sum(axis=1)
+        assert (differ <= neardup_vectors.most_differ(dim, 0.93)).all()
+
+
 def test_repeated_rows_and_empty_tables(spark):
     _, df = vectors(spark, 60)
     one = sorted(map(tuple, neardup_vectors.near_duplicates(df).collect()))
