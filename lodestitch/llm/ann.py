@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,62 +54,100 @@ class Graph:
         self.links = [np.array(sorted(x - {i}), dtype=np.int64) for i, x in enumerate(links)]
         self.entries = rng.choice(n, min(n, 8), replace=False)
 
-    def search(self, x: np.ndarray, k: int, width: int = 64) -> tuple[np.ndarray, np.ndarray]:
-        """The k nearest points found, and their distances, nearest first."""
+    def within(self, x: np.ndarray, ratio: float, least: int = 24) -> tuple[np.ndarray, np.ndarray]:
+        """The points found within `ratio` times the distance of the nearest one, nearest first, and their distances.
+
+        Best-first from the entries: points are expanded in order of distance until `least` are and the next one lies
+        beyond the ratio, so what is visited grows with what is asked for and not with the graph.
+        """
         dist = lambda at: np.sqrt(((self.points[at] - x) ** 2).sum(1))
         seen = np.zeros(len(self.points), bool)
         seen[self.entries] = True
-        d = dist(self.entries)
-        todo = [(float(v), int(i)) for v, i in zip(d, self.entries, strict=True)]
+        todo = list(zip(dist(self.entries).tolist(), self.entries.tolist(), strict=True))
         heapq.heapify(todo)
-        best = [(-v, -i) for v, i in todo]
-        heapq.heapify(best)
+        done: list[tuple[float, int]] = []
+        nearest = math.inf
         while todo:
             v, i = heapq.heappop(todo)
-            if len(best) >= width and v > -best[0][0]:
+            if len(done) >= least and v > ratio * nearest:
                 break
+            done.append((v, i))
+            nearest = min(nearest, v)
             new = self.links[i][~seen[self.links[i]]]
-            if not len(new):
-                continue
-            seen[new] = True
-            for w, j in zip(dist(new).tolist(), new.tolist(), strict=True):
-                if len(best) < width:
-                    heapq.heappush(best, (-w, -j))
-                    heapq.heappush(todo, (w, j))
-                elif w < -best[0][0]:
-                    heapq.heapreplace(best, (-w, -j))
+            if len(new):
+                seen[new] = True
+                for w, j in zip(dist(new).tolist(), new.tolist(), strict=True):
                     heapq.heappush(todo, (w, j))
-        got = sorted((-v, -i) for v, i in best)[:k]
-        return np.array([i for _, i in got], dtype=np.int64), np.array([v for v, _ in got])
+        done.sort()
+        done = [x for x in done if x[0] <= ratio * nearest]
+        return np.array([i for _, i in done], dtype=np.int64), np.array([v for v, _ in done])
+
+
+def assign(x: np.ndarray, points: np.ndarray, replicas: int, closeness: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, list): each row's nearest point and, near a boundary, further ones at most `closeness` times as far, `replicas` in
+    all. A point that lies closer to one already chosen than to the row is left out."""
+    d = (x**2).sum(1)[:, None] - 2 * x @ points.T + (points**2).sum(1)[None]
+    m = min(3 * replicas, len(points))
+    near = np.argpartition(d, m - 1, axis=1)[:, :m]
+    d = ((points[near] - x[:, None]) ** 2).sum(2)
+    order = np.lexsort((near, d), axis=1)
+    near, d = np.take_along_axis(near, order, 1), np.take_along_axis(d, order, 1)
+    own = points[near]
+    apart = ((own[:, :, None] - own[:, None]) ** 2).sum(3)
+    kept = np.zeros(near.shape, bool)
+    kept[:, 0] = True
+    for j in range(1, m):
+        free = (apart[:, j] > d[:, j, None]) | ~kept
+        kept[:, j] = free.all(axis=1) & (d[:, j] <= closeness**2 * d[:, 0]) & (kept.sum(axis=1) < replicas)
+    row, at = np.nonzero(kept)
+    return row, near[row, at]
+
+
+def needed_ratio(sample: np.ndarray, points: np.ndarray, k: int, replicas: int, closeness: float, recall: float, asked: int = 256, seed: int = 5) -> float:
+    """The distance ratio within which queries read a list of the share `recall` of their `k` nearest, measured on the sample.
+
+    The sample is sparser than the table, so its neighbours lie further apart, and the table's recall is no lower.
+    """
+    if len(sample) < 2:
+        return 1.0
+    q = np.random.default_rng(seed).choice(len(sample), min(asked, len(sample)), replace=False)
+    lists: list[list[int]] = [[] for _ in range(len(sample))]
+    for start in range(0, len(sample), 512):
+        row, at = assign(sample[start : start + 512], points, replicas, closeness)
+        for i, c in zip((row + start).tolist(), at.tolist(), strict=True):
+            lists[i].append(c)
+    found = []
+    for i in q.tolist():
+        d = ((sample - sample[i]) ** 2).sum(1)
+        d[i] = np.inf
+        near = np.argpartition(d, min(k, len(d) - 1) - 1)[: min(k, len(d) - 1)]
+        far = np.sqrt(((points - sample[i]) ** 2).sum(1))
+        found += [far[lists[j]].min() / max(far.min(), 1e-300) if far[lists[j]].min() > far.min() else 1.0 for j in near.tolist()]
+    return float(np.quantile(found, recall, method="higher"))
 
 
-def _postings(graph: Graph, replicas: int, closeness: float):
-    """(list, id, vec): each vector in its nearest list and, near a boundary, in further ones at most `closeness` times as far."""
+def _postings(points: np.ndarray, replicas: int, closeness: float):
+    """(list, id, vec): each vector in its nearest list, and those near a boundary in further ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at, got = vectors_of(b.column("vec"))
-            ids = b.column("id").to_pylist()
-            rows: list[tuple] = []
-            for i, x in zip(at, got, strict=True):
-                if len(x) != graph.points.shape[1]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 512):
+                b = whole.slice(start, 512)
+                at, got = vectors_of(b.column("vec"))
+                on = [k for k, x in enumerate(got) if len(x) == points.shape[1]]
+                if not on:
                     continue
-                near, d = graph.search(x, 3 * replicas)
-                kept: list[int] = []
-                for c, v in zip(near.tolist(), d.tolist(), strict=True):
-                    if kept and (v > closeness * d[0] or len(kept) == replicas):
-                        break
-                    # skip a list that lies closer to one already chosen than to the vector
-                    if all(((graph.points[c] - graph.points[k]) ** 2).sum() > v * v for k in kept):
-                        kept.append(c)
-                rows += [(c, ids[i], x.tobytes()) for c in kept]
-            cols = list(zip(*rows, strict=True)) if rows else [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["list", "id", "vec"])
+                x = np.stack([got[k] for k in on])
+                ids = b.column("id").take(pa.array([at[k] for k in on]))
+                row, lists = assign(x, points, replicas, closeness)
+                blobs = pa.array([v.tobytes() for v in x], pa.binary())
+                row = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), ids.take(row), blobs.take(row)], names=["list", "id", "vec"])
 
     return run
 
 
-def _chosen(graph: Graph, lists: int, ratio: float, sizes: np.ndarray, least: int):
+def _chosen(graph: Graph, ratio: float, sizes: np.ndarray, least: int):
     """(list, query, qvec): the lists to read for each query, those within `ratio` times the distance of the nearest.
 
     Lists that hold fewer than `least` rows together by `sizes` are followed by further ones in order of distance, until
@@ -116,14 +155,13 @@ def _chosen(graph: Graph, lists: int, ratio: float, sizes: np.ndarray, least: in
     """
 
     def read(x: np.ndarray) -> list[int]:
-        near, d = graph.search(x, lists, width=max(64, lists + 32))
-        out = near[(d <= ratio * d[0]) | (d == d[0])]
+        out, _ = graph.within(x, ratio)
         if sizes[out].sum() < least:
             rest = np.argsort(((graph.points - x) ** 2).sum(1), kind="stable")
             rest = rest[~np.isin(rest, out)]
             before = sizes[out].sum() + np.cumsum(sizes[rest]) - sizes[rest]
             out = np.concatenate([out, rest[(before < least) & (sizes[rest] > 0)]])
-        return out.tolist()
+        return out[sizes[out] > 0].tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -184,18 +222,22 @@ def _scan(k: int):
 
 
 def search(
-    df: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", sample_rows: int = 20_000,
-    n_lists: int = 256, replicas: int = 4, closeness: float = 1.12, lists: int = 144, ratio: float = 1.8, part_rows: int = 4096, seed: int = 5,
+    df: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", sample_rows: int = 40_000,
+    n_lists: int | None = None, replicas: int = 4, closeness: float = 1.12, recall: float = 0.97, ratio: float | None = None, part_rows: int = 1024, seed: int = 5,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows of `df` found for each row of `queries`, itself left out.
 
-    At most `n_lists` centroids (one for 40 sampled rows at most) are fitted on the `sample_rows` rows whose hashed ids are smallest; every row is indexed. A vector lies in
-    its nearest posting list and, near a boundary, in up to `replicas` lists at most `closeness` times as far. The
-    centroids (at most `n_lists`) and their graph are sent to the tasks; a query reads the up to `lists` lists found
-    within `ratio` times the nearest one's distance, and further ones until these hold `k` other vectors. Lists of over `part_rows` rows are split evenly by id and read in
-    parts. score is the Euclidean distance of the original vectors in double precision; ties go to the smaller id.
-    Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows with a null id;
-    of rows that repeat an id, one counts. Vectors of another length than most of the sample's take no part.
+    Centroids are fitted on the `sample_rows` rows whose hashed ids are smallest; every row is indexed. There are
+    `n_lists` of them, or as many as the root of the number of rows (4,096 at most, and one for 8 sampled rows), so they
+    and their graph may be sent to the tasks. A vector lies in its nearest posting list and, near a boundary, in up to
+    `replicas` lists at most `closeness` times as far. A query reads all lists whose centroids the graph's search finds
+    within `ratio` times the nearest one's distance, and further ones until these hold `k` other vectors. Without a `ratio`
+    it is the one that gives queries of the sample the share `recall` of their neighbours (see `needed_ratio`): few lists
+    where vectors lie in clusters, most where they lie evenly in many dimensions. Lists of over `part_rows` rows are split
+    evenly by id and read in parts. score is the Euclidean distance of the original vectors in double precision; ties go
+    to the smaller id. Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows
+    with a null id; of rows that repeat an id, one counts. Vectors of another length than most of the sample's take no
+    part.
     """
     spark = df.sparkSession
     of = lambda x: x.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec")).where("id is not null")
@@ -205,18 +247,21 @@ def search(
     empty = "query_id long, rank int, vec_id long, score double"
     if not sample:
         return spark.createDataFrame([], empty)
-    sizes = [len(x) for x in sample]
-    dim = max(set(sizes), key=sizes.count)
+    lengths = [len(x) for x in sample]
+    dim = max(set(lengths), key=lengths.count)
     fit = np.array([x for x in sample if len(x) == dim])
-    graph = Graph(centroids(fit, min(n_lists, max(1, len(fit) // 40)), seed=seed))
-    postings = cut(rows.mapInArrow(_postings(graph, replicas, closeness), "list int, id long, vec binary").dropDuplicates(["list", "id"]), "postings")
+    most = n_lists or min(4096, math.isqrt(rows.count()) + 1)
+    graph = Graph(centroids(fit, min(most, max(1, len(fit) // 8)), seed=seed))
+    if ratio is None:
+        ratio = needed_ratio(fit, graph.points, k, replicas, closeness, recall)
+    postings = cut(rows.mapInArrow(_postings(graph.points, replicas, closeness), "list int, id long, vec binary").dropDuplicates(["list", "id"]), "postings")
     held = postings.groupBy("list").agg(F.count("*").alias("n"), F.ceil(F.count("*") / F.lit(part_rows)).cast("int").alias("parts"))  # one row a list
     sizes = np.zeros(len(graph.points), np.int64)
     for r in held.collect():  # n_lists rows at most
         sizes[r["list"]] = r["n"]
     parts = held.select("list", "parts")
     # a vector lies in `replicas` lists at most, so as many rows hold k vectors besides the query's own
-    asked = of(queries).mapInArrow(_chosen(graph, lists, ratio, sizes, replicas * (k + 1)), "list int, id long, vec binary").dropDuplicates(["list", "id"])
+    asked = of(queries).mapInArrow(_chosen(graph, ratio, sizes, replicas * (k + 1)), "list int, id long, vec binary").dropDuplicates(["list", "id"])
     right = postings.join(F.broadcast(parts), "list").select("list", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), F.lit(1).alias("side"), "id", "vec")
     left = asked.join(F.broadcast(parts), "list").select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"), "id", "vec")
     near = left.union(right).repartition(n_partitions(spark), "list", "part").sortWithinPartitions("list", "part", "side")

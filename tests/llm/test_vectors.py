@@ -119,6 +119,56 @@ def test_queries_at_their_centroid_get_all_their_rows(spark):
     assert len(short) == 180 and all(r["count"] == 179 for r in short)  # all there are
 
 
+def test_clustered_vectors_are_found_in_few_of_many_lists(spark, monkeypatch):
+    rng = np.random.default_rng(31)
+    centres = 4 * rng.normal(size=(400, 24))
+    x = centres[rng.integers(0, 400, 6000)] + 0.6 * rng.normal(size=(6000, 24))
+    x[5996:] = 100 + 0.01 * rng.normal(size=(4, 24))  # a far group smaller than k
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>").repartition(3)
+    asked = df.where("vec_id % 50 = 0 or vec_id >= 5996")
+    read = []
+    kept = ann._chosen
+
+    def watched(graph, ratio, sizes, least):
+        for q in [*range(0, 6000, 50)]:
+            read.append(len(graph.within(x[q], ratio)[0]) / len(graph.points))
+        assert len(graph.points) > 256
+        return kept(graph, ratio, sizes, least)
+
+    monkeypatch.setattr(ann, "_chosen", watched)
+    got = ann.search(df, asked, k=10, n_lists=300).collect()
+    assert np.mean(read) <= 0.1, np.mean(read)
+    by = {}
+    for r in got:
+        by.setdefault(r["query_id"], []).append(r["vec_id"])
+    hit = total = 0
+    for q in [*range(0, 6000, 50), *range(5996, 6000)]:
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        assert len(by[q]) == 10
+        if q < 5996:
+            hit += len(set(by[q]) & set(np.argsort(d)[:10].tolist()))
+            total += 10
+        else:
+            assert set(range(5996, 6000)) - {q} <= set(by[q])
+    assert hit >= 0.9 * total, hit / total
+
+
+def test_evenly_spread_vectors_reach_the_recall(spark):
+    rng = np.random.default_rng(32)
+    x = rng.normal(size=(3000, 32))
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>").repartition(3)
+    by = {}
+    for r in ann.search(df, df.where("vec_id % 60 = 0")).collect():
+        by.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hit = 0
+    for q in range(0, 3000, 60):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hit += len(by[q] & set(np.argsort(d)[:10].tolist()))
+    assert hit >= 0.9 * 500, hit / 500
+
+
 def test_fewer_candidates_than_asked(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0], 1), (5, [2.0, 0.0], 1), (3, [0.0, 0.0], 1)], "vec_id long, embedding array<double>, label int")
     assert [tuple(r) for r in ann.search(df, df.where("vec_id = 0")).collect()] == [(0, 1, 5, 1.0)]
