@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 
 from .common import chunks, components, cut, fresh, mix, n_partitions, text_bytes, window_hashes, word_hashes
 
-#: Minwise tokens that paths choose from, independent trees, and the depth at which a tree's nodes are compared.
-TOKENS, TREES, DEPTH = 64, 16, 3
+#: Minwise tokens that paths choose from, the depth at which a tree's nodes are compared, and the share of pairs of the least
+#: similarity that all trees together are to bring into one node.
+TOKENS, DEPTH, RECALL = 64, 3, 0.9997
 #: Sketch slots of two bits, each of a minwise token.
 SLOTS = 128
 WORDS = SLOTS // 64
-#: Members of a node that one task compares at once in the second pass; larger nodes go as pairs of blocks.
+#: Members of a node that are compared at once in the second pass; larger nodes go as pairs of blocks of about so many.
 BLOCK = 1000
 _ODD = np.random.default_rng(11).integers(1, 1 << 63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _XOR = np.random.default_rng(12).integers(1, 1 << 63, SLOTS, dtype=np.uint64)
@@ -54,7 +55,19 @@ def minwise(value: np.ndarray, start: np.ndarray) -> np.ndarray:
     return out
 
 
-def paths(tokens: np.ndarray, similarity: float, trees: int = TREES, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
+def trees_for(similarity: float, recall: float = RECALL, depth: int = DEPTH) -> int:
+    """Independent trees that bring a pair of that similarity into one node with probability `recall`.
+
+    A pair survives a root's coordinate with its similarity, and each further level if any of the about Poisson(1)
+    children that it shares does.
+    """
+    alive = 1.0
+    for _ in range(depth - 1):
+        alive = 1 - math.exp(-alive)
+    return math.ceil(math.log(1 - recall) / math.log(1 - similarity * alive))
+
+
+def paths(tokens: np.ndarray, similarity: float, trees: int, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
     """(set, node) for the nodes at `depth` that each set is dealt to.
 
     A node chooses each of the coordinates with probability 1 / (similarity * TOKENS) by a hash of its own name, and a
@@ -84,7 +97,7 @@ def paths(tokens: np.ndarray, similarity: float, trees: int = TREES, depth: int
     return who, node
 
 
-def _described(width: int, similarity: float):
+def _described(width: int, similarity: float, trees: int):
     """(doc, h, n, print, sketch, nodes): size and fingerprint of each row's set, its sketch, and its nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +116,7 @@ def _described(width: int, similarity: float):
                 rows = np.concatenate([np.packbits((bits >> np.uint64(k)).astype(np.uint8) & 1, axis=1) for k in range(2)], axis=1)
                 for i, x in zip(full.tolist(), rows, strict=True):
                     sketch[i] = x.tobytes()
-                who, node = paths(tokens[:, :TOKENS], similarity)
+                who, node = paths(tokens[:, :TOKENS], similarity, trees)
                 order = np.argsort(who, kind="stable")
                 node = node[order].view(np.int64)
                 bound = np.searchsorted(who[order], np.arange(len(full) + 1))
@@ -214,28 +227,30 @@ def _assigned(node: int, n, sketch, comp, nodes, i: np.ndarray, j: np.ndarray, p
     return i[on], j[on]
 
 
-def _cross_members(percent: int, block: int):
-    """Members of nodes that have a pair to compare there, dealt in blocks of about `block`; rows come sorted by node."""
+def _cross_members(percent: int):
+    """The members of nodes' block pairs that have a pair to compare there; rows come sorted by node, block pair and side."""
+    names = ("node", "bi", "bj", "side", "doc", "n", "sketch", "component", "nodes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for node, doc, n, blob, comp, nodes in _groups(batches, ("node", "doc", "n", "sketch", "component", "nodes")):
+        for node, bi, bj, side, doc, n, blob, comp, nodes in _groups(batches, names):
             sketch = _sketches(blob)
-            first = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
-            low, high = np.minimum.reduceat(comp, first), np.maximum.reduceat(comp, first)
-            end = np.append(first[1:], len(node))
-            for a, e in zip(first[low != high].tolist(), end[low != high].tolist(), strict=True):
+            first = np.flatnonzero(np.append(True, (node[1:] != node[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])))
+            for a, e in zip(first.tolist(), [*first[1:].tolist(), len(node)], strict=True):
                 used = np.zeros(e - a, bool)
-                for at, to in ((x, y) for x in range(a, e, 1024) for y in range(x, e, 1024)):
-                    i, j = np.meshgrid(np.arange(at, min(e, at + 1024)), np.arange(to, min(e, to + 1024)), indexing="ij")
-                    on = i < j
-                    i, j = _assigned(int(node[a]), n, sketch, comp, nodes, i[on], j[on], percent)
-                    used[i - a] = used[j - a] = True
+                left = np.arange(a, e) if bi[a] == bj[a] else np.arange(a, e)[side[a:e] == 0]
+                right = left if bi[a] == bj[a] else np.arange(a, e)[side[a:e] == 1]
+                for x in range(0, len(left), 1024):
+                    for y in range(x if left is right else 0, len(right), 1024):
+                        i, j = (z.ravel() for z in np.meshgrid(left[x : x + 1024], right[y : y + 1024], indexing="ij"))
+                        if left is right:
+                            on = i < j
+                            i, j = i[on], j[on]
+                        i, j = _assigned(int(node[a]), n, sketch, comp, nodes, i, j, percent)
+                        used[i - a] = used[j - a] = True
                 m = np.flatnonzero(used) + a
                 if len(m):
-                    blocks = -(-len(m) // block)
-                    cols = [pa.array(x) for x in (node[m], doc[m], n[m], blob[m], comp[m])]
-                    cols += [pa.array([nodes[k] for k in m.tolist()], pa.list_(pa.int64())), pa.array((np.arange(len(m)) % blocks).astype(np.int32)), pa.array(np.full(len(m), blocks, np.int32))]
-                    yield pa.RecordBatch.from_arrays(cols, names=["node", "doc", "n", "sketch", "component", "nodes", "own", "blocks"])
+                    cols = [pa.array(z) for z in (node[m], bi[m], bj[m], side[m], doc[m], n[m], blob[m], comp[m])]
+                    yield pa.RecordBatch.from_arrays([*cols, pa.array([nodes[k] for k in m.tolist()], pa.list_(pa.int64()))], names=list(names))
 
     return run
 
@@ -359,19 +374,18 @@ def _confirm(rows: DataFrame, classes: DataFrame, pairs: DataFrame, width: int,
 def _confirm_across(rows: DataFrame, classes: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
     """The links between components among the members of each node."""
     texts = _texts(rows, classes, cut(members.select("doc").distinct(), "wanted"))
-    dealt = members.join(texts, "doc").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumn("bi", F.least("own", "other")).withColumn("bj", F.greatest("own", "other")).withColumn("side", (F.col("own") != F.col("bi")).cast("int"))
     key = ["node", "bi", "bj"]
-    dealt = dealt.drop("own", "other", "blocks").repartition(n_partitions(rows.sparkSession), *key).sortWithinPartitions(*key, "side")
+    dealt = members.join(texts, "doc").repartition(n_partitions(rows.sparkSession), *key).sortWithinPartitions(*key, "side")
     return cut(dealt.mapInArrow(_cross_confirmed(width, percent), "a long, b long"), "links")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK, recall: float = RECALL) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each doc_id: components of links of `percent` % similarity or more.
 
     Sets are the distinct runs of `width` words, A-Z lower-cased; a text of fewer words is one shingle, one without words
     (or null) an empty set that links with nothing. Equal sets form a class and go on as one. Classes are dealt to the
-    nodes of independent trees (see `paths`); a node's members are compared in two passes: first each with the node's
+    nodes of as many independent trees as bring the share `recall` of the least similar pairs into a node (see `paths`
+    and `trees_for`); a node's members are compared in two passes: first each with the node's
     first and the one before, then, exhaustively, those that the links found leave in different components, in blocks of
     `block` members. So no link is lost to a node's size, and none is needed inside a component. Every link is confirmed on the full sets. Of rows
     that repeat a doc_id one counts; a null doc_id is left out. Other columns are ignored.
@@ -379,7 +393,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85, doc_id:
     n_parts = n_partitions(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("text")).where("doc is not null")
     kind = "doc long, h long, n long, print binary, sketch binary, nodes array<long>"
-    described = rows.mapInArrow(_described(width, percent / 100), kind)
+    described = rows.mapInArrow(_described(width, percent / 100, trees_for(percent / 100, recall)), kind)
     described = cut(described.groupBy("doc").agg(F.min(F.struct("h", "n", "print", "sketch", "nodes")).alias("x")).select("doc", "x.*"), "described")
     classes = described.where("n > 0").groupBy("print").agg(F.min(F.struct("doc", "h", "n", "sketch", "nodes")).alias("x")).select("print", "x.*")
     classes = cut(classes, "classes")
@@ -389,10 +403,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85, doc_id:
     links = _confirm(rows, classes, first.where("pair").select("a", "b").distinct(), width, percent)
     comp = cut(components(links), "components")
     members = first.where("not pair").select("node", F.col("a").alias("doc"))
-    again = members.join(classes.select("doc", "n", "sketch", "nodes"), "doc").join(comp.withColumnRenamed("id", "doc"), "doc", "left")
-    again = again.select("node", "doc", "n", "sketch", F.coalesce("component", "doc").alias("component"), "nodes")
-    kind = "node long, doc long, n long, sketch binary, component long, nodes array<long>, own int, blocks int"
-    across = cut(again.repartition(n_parts, "node").sortWithinPartitions("node", "doc").mapInArrow(_cross_members(percent, block), kind), "across")
+    placed = members.join(comp.withColumnRenamed("id", "doc"), "doc", "left").select("node", "doc", F.coalesce("component", "doc").alias("component"))
+    placed = cut(placed, "placed")
+    # only nodes whose members lie in several components have pairs left; large ones are dealt as pairs of blocks
+    mixed = placed.groupBy("node").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    mixed = mixed.select("node", F.ceil(F.col("m") / F.lit(block)).cast("int").alias("blocks"))
+    again = placed.join(mixed, "node").withColumn("own", F.pmod(F.xxhash64("doc", F.lit(3)), "blocks").cast("int"))
+    again = again.join(classes.select("doc", "n", "sketch", "nodes"), "doc").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    again = again.select("node", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "doc", "n", "sketch", "component", "nodes")
+    key = ["node", "bi", "bj"]
+    kind = "node long, bi int, bj int, side int, doc long, n long, sketch binary, component long, nodes array<long>"
+    across = cut(again.repartition(n_parts, *key).sortWithinPartitions(*key, "side", "doc").mapInArrow(_cross_members(percent), kind), "across")
     if across.limit(1).count():
         links = links.union(_confirm_across(rows, classes, across, width, percent))
         comp = components(links)

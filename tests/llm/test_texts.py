@@ -148,6 +148,32 @@ def test_chains_of_links_in_one_node(spark, block):
     assert {r["doc_id"]: r["component_id"] for r in neardup_text.near_duplicates(df, block=block).collect()} == {i: comp.get(i, i) for i in sets}
 
 
+@pytest.mark.parametrize("percent", [70, 80, 85])
+def test_trees_bring_pairs_together_as_often_as_asked(percent):
+    assert neardup_text.trees_for(0.85) == 16 and neardup_text.trees_for(0.7) > 16
+    rng = np.random.default_rng(percent)
+    n, size = 3000, 200
+    both = -(-2 * size * percent // (100 + percent))
+    pool = rng.integers(0, 1 << 63, (n, 2 * size - both), dtype=np.uint64)
+    value = np.concatenate([pool[:, :size], pool[:, size - both :]], axis=1).ravel()
+    tokens = neardup_text.minwise(value, np.arange(0, 2 * n * size + 1, size))[:, : neardup_text.TOKENS]
+    for recall in (0.9, neardup_text.RECALL):
+        who, node = neardup_text.paths(tokens, percent / 100, neardup_text.trees_for(percent / 100, recall))
+        held = set(zip(who.tolist(), node.tolist()))
+        met = {w // 2 for w, x in held if w % 2 == 0 and (w + 1, x) in held}
+        assert len(met) >= n * recall - 4 * (n * recall * (1 - recall)) ** 0.5 - 2, (percent, recall, len(met))
+
+
+def test_pairs_of_lower_similarity_are_linked_when_asked(spark):
+    texts = []
+    for k in range(60):  # 176 of 246 shingles shared: 0.715
+        base = [f"w{k}x{i}" for i in range(215)]
+        texts += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base[:180] + [f"v{k}x{i}" for i in range(35)]))]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    assert {r["doc_id"] for r in neardup_text.near_duplicates(df, percent=70).collect() if r["kept"]} == {2 * k for k in range(60)}
+    assert neardup_text.near_duplicates(df, percent=75).where("kept").count() == 120
+
+
 @pytest.mark.parametrize("percent", [50, 70, 80, 85])
 def test_sketches_pass_pairs_at_the_asked_similarity(percent):
     assert neardup_text.least_agreement(85) == 97
