@@ -17,15 +17,26 @@ the and of no floor block near opp area main cross lane avenue ave rd dr drive u
 
 # States by country, code and name.
 STATES = {
-    "us": dict(
-        line.split(" ", 1)
-        for line in """al alabama|ak alaska|az arizona|ar arkansas|ca california|co colorado|ct connecticut|de delaware|dc district of columbia|fl florida|ga georgia|hi hawaii|id idaho|il illinois|in indiana|ia iowa|ks kansas|ky kentucky|la louisiana|me maine|md maryland|ma massachusetts|mi michigan|mn minnesota|ms mississippi|mo missouri|mt montana|ne nebraska|nv nevada|nh new hampshire|nj new jersey|nm new mexico|ny new york|nc north carolina|nd north dakota|oh ohio|ok oklahoma|or oregon|pa pennsylvania|ri rhode island|sc south carolina|sd south dakota|tn tennessee|tx texas|ut utah|vt vermont|va virginia|wa washington|wv west virginia|wi wisconsin|wy wyoming""".split("|")
-    ),
-    "india": dict(
-        line.split(" ", 1)
-        for line in """ap andhra pradesh|ar arunachal pradesh|as assam|br bihar|cg chhattisgarh|ct chhattisgarh|ga goa|gj gujarat|hr haryana|hp himachal pradesh|jh jharkhand|ka karnataka|kl kerala|mp madhya pradesh|mh maharashtra|mn manipur|ml meghalaya|mz mizoram|nl nagaland|od odisha|or orissa|pb punjab|rj rajasthan|sk sikkim|tn tamil nadu|tg telangana|ts telangana|tr tripura|up uttar pradesh|uk uttarakhand|ut uttarakhand|wb west bengal|dl delhi|jk jammu and kashmir|ch chandigarh|py puducherry|la ladakh|dn dadra and nagar haveli|ld lakshadweep|an andaman and nicobar islands""".split("|")
-    ),
-}
+    "us": {
+        "al": "alabama", "ak": "alaska", "az": "arizona", "ar": "arkansas", "ca": "california", "co": "colorado", "ct": "connecticut",
+        "de": "delaware", "dc": "district of columbia", "fl": "florida", "ga": "georgia", "hi": "hawaii", "id": "idaho",
+        "il": "illinois", "in": "indiana", "ia": "iowa", "ks": "kansas", "ky": "kentucky", "la": "louisiana", "me": "maine",
+        "md": "maryland", "ma": "massachusetts", "mi": "michigan", "mn": "minnesota", "ms": "mississippi", "mo": "missouri",
+        "mt": "montana", "ne": "nebraska", "nv": "nevada", "nh": "new hampshire", "nj": "new jersey", "nm": "new mexico",
+        "ny": "new york", "nc": "north carolina", "nd": "north dakota", "oh": "ohio", "ok": "oklahoma", "or": "oregon",
+        "pa": "pennsylvania", "ri": "rhode island", "sc": "south carolina", "sd": "south dakota", "tn": "tennessee", "tx": "texas",
+        "ut": "utah", "vt": "vermont", "va": "virginia", "wa": "washington", "wv": "west virginia", "wi": "wisconsin", "wy": "wyoming",
+    },
+    "india": {
+        "ap": "andhra pradesh", "ar": "arunachal pradesh", "as": "assam", "br": "bihar", "cg": "chhattisgarh", "ct": "chhattisgarh",
+        "ga": "goa", "gj": "gujarat", "hr": "haryana", "hp": "himachal pradesh", "jh": "jharkhand", "ka": "karnataka", "kl": "kerala",
+        "mp": "madhya pradesh", "mh": "maharashtra", "mn": "manipur", "ml": "meghalaya", "mz": "mizoram", "nl": "nagaland",
+        "od": "odisha", "or": "orissa", "pb": "punjab", "rj": "rajasthan", "sk": "sikkim", "tn": "tamil nadu", "tg": "telangana",
+        "ts": "telangana", "tr": "tripura", "up": "uttar pradesh", "uk": "uttarakhand", "ut": "uttarakhand", "wb": "west bengal",
+        "dl": "delhi", "jk": "jammu and kashmir", "ch": "chandigarh", "py": "puducherry", "la": "ladakh",
+        "dn": "dadra and nagar haveli", "ld": "lakshadweep", "an": "andaman and nicobar islands",
+    },
+}
 MORE_STATE_NAMES = ("jammu kashmir",)
 # Digits of a postal code by country; where a country's reference addresses write states as codes, else as names.
 POSTAL_DIGITS = {"us": 5, "india": 6}

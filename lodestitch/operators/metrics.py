@@ -6,8 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The sweep's thresholds.
-THRESHOLDS = [round(0.05 * i, 2) for i in range(1, 19)] + [round(0.90 + 0.005 * i, 3) for i in range(1, 17)] + [0.985, 0.991, 0.993, 0.996, 0.999]
+THRESHOLDS = [
+    0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95, 0.96, 0.97, 0.98, 0.99,
+    0.991, 0.992, 0.993, 0.994, 0.995, 0.996, 0.997, 0.998, 0.999, 0.9995, 0.9999, 0.99991, 0.99993, 0.99995, 0.99997, 0.99999,
+]
 BETA = 0.5
+#: Ranges of the scores that `rank_auc` counts by first.
+AUC_SLOTS = 4096
 
 
 def f_beta(n_pred: Column | str, n_true: Column | str, n_hit: Column | str, beta: float = BETA) -> Column:
@@ -102,11 +107,19 @@ def quantiles(rows: DataFrame, column: str, at: list[float], by: tuple[str, ...]
 def rank_auc(rows: DataFrame, score: str = "score", label: str = "label", by: tuple[str, ...] = ()) -> DataFrame:
     """The probability that a positive row scores above a negative one, ties as half; NULL if either class is empty.
 
-    Counts by distinct score are summed from below, so no row needs all others in one task but the distinct scores.
+    Counts by distinct score are summed from below, by ranges first, so no task needs all distinct scores.
     """
     n = rows.where(F.col(score).isNotNull()).groupBy(*by, score).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
-    below = F.sum("n").over(Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)) if by else F.sum("n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1))
-    n = n.withColumn("below", F.coalesce(below, F.lit(0)))
+    # sums from below in two steps: over AUC_SLOTS ranges of the scores, then inside each range
+    span = n.groupBy(*by).agg(F.min(score).alias("__lo"), F.max(score).alias("__hi"))
+    joined = n.join(F.broadcast(span), list(by)) if by else n.crossJoin(F.broadcast(span))  # one row a group
+    place = F.when(F.col("__hi") > F.col("__lo"), F.floor((F.col(score) - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * AUC_SLOTS)).otherwise(0)
+    n = joined.withColumn("__slot", F.least(place, F.lit(AUC_SLOTS - 1))).drop("__lo", "__hi")
+    slots = n.groupBy(*by, "__slot").agg(F.sum("n").alias("__n"))
+    ahead = Window.partitionBy(*by).orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
+    slots = slots.withColumn("__before", F.coalesce(F.sum("__n").over(ahead), F.lit(0))).drop("__n")
+    inside = Window.partitionBy(*by, "__slot").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    n = n.join(slots, [*by, "__slot"]).withColumn("below", F.col("__before") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
     pairs = F.sum("p") * F.sum("n")
     return n.groupBy(*by).agg(F.try_divide(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)), pairs).alias("auc"))
 

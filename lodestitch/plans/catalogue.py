@@ -12,7 +12,7 @@ from ..functions import address as A
 from ..functions import similarity as S
 from ..functions import text as T
 from ..functions import words as W
-from ..operators import blocking, context, diagnostics, features, metrics, models, splits
+from ..operators import blocking, context, diagnostics, errors, features, metrics, models, splits
 from ..session import scratch_dir, table
 from ..sources import tables
 from ..streaming import link
@@ -94,10 +94,16 @@ def letter_flags(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.has_indic("text").alias("indic"), F.regexp_count("text", F.lit(r"\p{L}")).cast("long").alias("letters"))
 
 
-@query("SELECT r_name AS long, n_name AS short, length(replace(upper(substr(n_name, 1, 1)), ' ', '')) >= 2 AS hit, instr(n_name, '�') > 0 OR length(regexp_replace(lower(n_name), '[^a-z]', '', 'g')) < greatest(2, length(n_name) // 2) AS noisy FROM nation JOIN region ON n_regionkey = r_regionkey")
+_SHORT = """SELECT lower(concat(n_name, ' ', r_name)) AS long, CASE n_nationkey % 4 WHEN 0 THEN concat(lower(substr(n_name, 1, 1)), ' ', lower(substr(r_name, 1, 1))) WHEN 1 THEN '123 a 4'
+ WHEN 2 THEN concat(lower(n_name), '�') ELSE lower(n_name) END AS short FROM nation JOIN region ON n_regionkey = r_regionkey"""
+
+
+@query(f"""SELECT long, short, length(replace(short, ' ', '')) >= 2 AND replace(short, ' ', '') = array_to_string(list_transform(string_split(long, ' '), lambda x: x[1]), '') AS hit,
+ contains(short, '�') OR length(regexp_replace(short, '[^a-z]', '', 'g')) < greatest(2, length(replace(short, ' ', '')) // 2) AS noisy FROM ({_SHORT})""")
 def abbreviation_noise(spark, sf_dir):
-    rows = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return rows.select(F.col("r_name").alias("long"), F.col("n_name").alias("short"), T.is_abbreviation(F.substring("n_name", 1, 1), "r_name").alias("hit"), T.is_noisy("n_name", F.lower("n_name")).alias("noisy"))
+    sql = _SHORT.replace("FROM nation JOIN region", "FROM {n} JOIN {r}")
+    rows = spark.sql(sql, n=table(spark, sf_dir, "nation"), r=table(spark, sf_dir, "region"))
+    return rows.select("long", "short", T.is_abbreviation("short", "long").alias("hit"), T.is_noisy("short", "short").alias("noisy"))
 
 
 # --- addresses --------------------------------------------------------------------------------------------------------
@@ -499,7 +505,7 @@ def s1_metrics(spark, sf_dir):
     return _shown(metrics.s1_metrics(_counts(spark, sf_dir)))
 
 
-_GRID = [0.5, 0.9, 0.99, 0.993, 0.996, 0.999]
+_GRID = metrics.THRESHOLDS
 _SWEEP = f"""{EV}, g AS (SELECT unnest([{', '.join(f'{x}e0' for x in _GRID)}]) AS threshold), nt AS (SELECT s1_id, sum(label) AS nt FROM s GROUP BY ALL),
  k AS (SELECT threshold, nt.s1_id, nt, coalesce(np, 0) AS np, coalesce(nh, 0) AS nh FROM g CROSS JOIN nt LEFT JOIN (SELECT threshold, s1_id, count(*) AS np, sum(label) AS nh FROM s JOIN g ON score >= threshold GROUP BY ALL) x USING (threshold, s1_id))"""
 
@@ -596,22 +602,155 @@ def bucket_breakdown(spark, sf_dir):
     return metrics.value_share(rows, "bucket").select("bucket", "n", r6(100 * F.col("share"), "pct"))
 
 
-@query(f"""{EV}, c AS (SELECT CASE WHEN event_type = 'error' AND name_ratio < 0.3 AND translit_skeleton_ratio >= 0.8 THEN 'transliteration collision' WHEN event_type <> 'error' AND translit_skeleton_ratio >= 0.8 AND name_ratio < 0.8 AND score < 0.8 THEN 'skeleton collision (Latin)'
- WHEN name_ratio >= 0.95 AND address_token_set_ratio >= 0.9 AND (address_number_set_jaccard IS NULL OR address_number_set_jaccard >= 1) THEN 'near-duplicate record' WHEN address_token_set_ratio >= 0.9 AND address_number_set_jaccard < 1 THEN 'address near-duplicate, numbers conflict'
- WHEN name_ratio >= 0.95 AND (address_token_set_ratio IS NULL OR address_token_set_ratio < 0.7) AND target_name_frequency > 5 THEN 'same name, weak address, common' WHEN name_ratio >= 0.95 AND (address_token_set_ratio IS NULL OR address_token_set_ratio < 0.7) THEN 'same name, weak address, rare'
- WHEN address_token_set_ratio >= 0.9 THEN 'same address, different name' ELSE 'other' END AS category FROM s) SELECT category, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM c GROUP BY ALL""")
+_BEST = "greatest(name_ratio, translit_name_ratio)"
+_NEAR, _CONFLICT, _WEAK = "address_token_set_ratio >= 0.9", "address_number_set_jaccard < 1", "NOT coalesce(address_token_set_ratio >= 0.75, false)"
+# The categories' names, limits and order.
+_FP_SQL = f"""CASE WHEN cross_script AND translit_skeleton_ratio >= 0.7 AND name_ratio < 0.5 THEN 'transliteration collision (cross-script)'
+ WHEN NOT cross_script AND translit_skeleton_ratio >= 0.8 AND {_BEST} < 0.7 THEN 'skeleton collision (Latin, spelling differs)'
+ WHEN {_BEST} >= 0.9 AND {_NEAR} AND NOT coalesce({_CONFLICT}, false) THEN 'near-duplicate record: name & address ≥0.9, numbers agree'
+ WHEN {_NEAR} AND {_CONFLICT} THEN 'address near-duplicate, numbers conflict'
+ WHEN {_BEST} >= 0.9 AND {_WEAK} AND target_name_frequency > 5 THEN 'same/near name, weak or missing address — common name (freq > 5)'
+ WHEN {_BEST} >= 0.9 AND {_WEAK} THEN 'same/near name, weak or missing address — rare name (freq ≤ 5)'
+ WHEN {_NEAR} AND {_BEST} < 0.9 THEN 'same/near address, different name'
+ WHEN house_city_match = 1 AND {_BEST} < 0.9 AND address_token_set_ratio < 0.9 THEN 'house+city collision, weak name & address'
+ WHEN {_BEST} >= 0.7 AND address_token_set_ratio >= 0.75 THEN 'partial evidence on both name and address' ELSE 'other' END"""
+
+
+@query(f"{EV}, c AS (SELECT {_FP_SQL} AS category FROM s) SELECT category, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM c GROUP BY ALL")
 def primary_category(spark, sf_dir):
-    rows = views.scored(spark, sf_dir).withColumn("cross_script", F.col("event_type") == "error").withColumn("translit_name_ratio", F.col("score"))
-    return diagnostics.categories(rows).withColumn("share", F.round("share", 6))
+    return diagnostics.categories(views.scored(spark, sf_dir)).withColumn("share", F.round("share", 6))
 
 
-@query(f"{EV} SELECT segment, CAST(sum(label * p) AS BIGINT) AS tp, CAST(sum((1 - label) * p) AS BIGINT) AS fp, CAST(sum(label * (1 - p)) AS BIGINT) AS fn, round(sum(label * p) / sum(p), 6) AS precision, round(sum(label * p) / sum(label), 6) AS recall FROM (SELECT label, CASE WHEN score >= 0.995 THEN 1 ELSE 0 END AS p, unnest(list_filter([CASE WHEN target_source = 2 THEN 's2' END, CASE WHEN {_CONTRA} THEN 'against' END, 'all'], lambda x: x IS NOT NULL)) AS segment FROM s) GROUP BY segment")
-def decision_segments(spark, sf_dir):
+def _decided(spark, sf_dir):
     rows = views.scored(spark, sf_dir).withColumn("predicted", (F.col("score") >= 0.995).cast("int"))
-    out = diagnostics.segments(rows, [("s2", F.col("target_source") == 2), ("against", context.contradiction()), ("all", F.lit(True))])
+    return rows, rows.groupBy("s1_id").agg(F.sum("label").alias("n_true"))
+
+
+_DECIDED = f"""{EV}, d AS (SELECT *, CASE WHEN score >= 0.995 THEN 1 ELSE 0 END AS p FROM s), base AS (SELECT s1_id, sum(label) AS nt, sum(p) AS np, sum(p * label) AS nh FROM d GROUP BY s1_id),
+ w AS (SELECT d.*, nt, max(p * label) OVER (PARTITION BY s1_id) AS any_hit, max(p) OVER (PARTITION BY s1_id) AS any_p, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, target_source, target_id) AS rk FROM d JOIN base USING (s1_id))"""
+
+
+def _report_sql(parts: str, which: str) -> str:
+    """Each part's rows decided as labelled, and the mean F0.5 over all S1s then, less the mean as it is."""
+    return f"""{_DECIDED}, x AS (SELECT s1_id, label, p, unnest({parts}) AS part FROM w WHERE {which}), y AS (SELECT * FROM x WHERE part IS NOT NULL),
+ fixed AS (SELECT part, s1_id, sum(label - p) AS dp, sum(label - label * p) AS dh FROM y GROUP BY ALL), names AS (SELECT part, count(*) AS n FROM y GROUP BY part),
+ k AS (SELECT names.part, nt, np, nh, np + coalesce(dp, 0) AS np2, nh + coalesce(dh, 0) AS nh2 FROM names CROSS JOIN base LEFT JOIN fixed ON fixed.part = names.part AND fixed.s1_id = base.s1_id),
+ g AS (SELECT part, avg({_F.format('np2', 'nt', 'nh2')}) - avg({_F.format('np', 'nt', 'nh')}) AS gain FROM k GROUP BY part)
+ SELECT split_part(part, '|', 1) AS kind, substr(part, instr(part, '|') + 1) AS part, n, round(n / (SELECT count(*) FROM w WHERE {which}), 6) AS pct, round(gain, 6) AS oracle_gain FROM names JOIN g USING (part)"""
+
+
+def _rounded(report):
+    return report.withColumn("pct", F.round("pct", 6)).withColumn("oracle_gain", F.round("oracle_gain", 6))
+
+
+# The flags', categories' and contexts' names.
+_FP_PARTS = f"""[CASE WHEN name_exact = 1 THEN 'flag|identical name' END, CASE WHEN name_exact = 0 AND {_BEST} >= 0.9 THEN 'flag|near-identical name (≥0.90, not identical)' END,
+ CASE WHEN address_ratio = 1 THEN 'flag|identical address' END, CASE WHEN address_ratio <> 1 AND address_ratio >= 0.9 THEN 'flag|near-identical address (≥0.90, not identical)' END,
+ CASE WHEN house_city_match = 1 THEN 'flag|house+city agree' END, CASE WHEN {_CONFLICT} THEN 'flag|address numeric mismatch (number-set Jaccard < 1)' END,
+ CASE WHEN name_exact = 1 AND {_CONFLICT} THEN 'flag|identical name + numeric mismatch' END, CASE WHEN name_exact = 1 AND address_ratio = 1 THEN 'flag|identical name AND identical address' END,
+ CASE WHEN city_match = 0 THEN 'flag|different city (city_match = 0)' END, CASE WHEN house_city_hit = 1 AND n_channels = 1 THEN 'flag|house_city-only candidate' END,
+ 'category|' || CASE WHEN name_exact = 1 AND address_ratio = 1 THEN 'identical name + identical address' WHEN name_exact = 1 AND {_CONFLICT} THEN 'identical name + numeric mismatch'
+  WHEN {_BEST} >= 0.9 AND {_CONFLICT} THEN 'near-identical name + numeric mismatch' WHEN {_BEST} >= 0.9 THEN 'identical/near name, numbers agree' WHEN city_match = 0 THEN 'different city'
+  WHEN house_city_hit = 1 AND n_channels = 1 THEN 'house_city-only' ELSE 'other' END,
+ 'context|' || CASE WHEN nt = 0 THEN 'S1 has no true match (singleton)' WHEN any_hit = 1 THEN 'extra prediction next to a correct one' ELSE 'S1 has matches, none predicted correctly' END]"""
+
+
+@query(_report_sql(_FP_PARTS, "p = 1 AND label = 0"))
+def false_positive_report(spark, sf_dir):
+    return _rounded(errors.false_positive_report(*_decided(spark, sf_dir)))
+
+
+def _bucket_sql(kind: str, x: str, edges: list, labels: list[str]) -> str:
+    whens = " ".join(f"WHEN {x} >= {lo} AND {x} < {hi} THEN '{kind}|{n}'" for lo, hi, n in zip(edges, edges[1:], labels, strict=False))
+    return f"CASE WHEN {x} IS NULL THEN '{kind}|missing' {whens} END"
+
+
+_SIM = ([0, 0.5, 0.75, 0.9, 1.0, 1.01], ["<0.50", "0.50-0.75", "0.75-0.90", "0.90-<1", "1.0"])
+_FN_PARTS = "[" + ", ".join([
+    _bucket_sql("score", "score", [0, 0.1, 0.5, 0.9, 0.99, 1.01], ["<0.10", "0.10-0.50", "0.50-0.90", "0.90-0.99", "0.99-<thr"]),
+    _bucket_sql("best name ratio (orig/translit)", _BEST, *_SIM), _bucket_sql("address ratio", "address_ratio", *_SIM), _bucket_sql("address number-set Jaccard", "address_number_set_jaccard", *_SIM),
+    _bucket_sql("name_char_rank", "name_char_rank", [0, 1, 5, 20, 50, 100], ["0", "1-4", "5-19", "20-49", "50-99"]), _bucket_sql("address_char_rank", "address_char_rank", [0, 1, 5, 10, 25], ["0", "1-4", "5-9", "10-24"]),
+    "'n_channels|' || n_channels", "'missing name/address|' || CASE WHEN target_address_missing = 1 THEN 'target address missing' WHEN target_name_missing = 1 THEN 'target name missing' WHEN s1_address_missing = 1 THEN 'S1 address missing' ELSE 'none missing' END",
+    *(f"'{x}|' || coalesce(CAST({x} AS VARCHAR), 'missing')" for x in ("house_number_match", "city_match", "house_city_match")),
+    "'context|' || CASE WHEN any_p = 1 THEN 'S1 has other predictions' ELSE 'S1 has no predictions' END", _bucket_sql("rank in S1", "rk", [1, 2, 4, 11, 1000000000], ["1 (top of S1)", "2-3", "4-10", ">10"]),
+]) + "]"
+
+
+@query(_report_sql(_FN_PARTS, "p = 0 AND label = 1"))
+def false_negative_report(spark, sf_dir):
+    return _rounded(errors.false_negative_report(*_decided(spark, sf_dir)))
+
+
+_RELATION = """CASE WHEN s1_script = 'latin' AND target_script = 'latin' THEN 'both Latin' WHEN s1_script = 'non-latin' AND target_script = 'non-latin' AND NOT other_scripts THEN 'same non-Latin script'
+ WHEN s1_script = 'latin' AND target_script = 'non-latin' THEN 'Latin S1 -> non-Latin target' WHEN s1_script = 'non-latin' AND target_script = 'latin' THEN 'non-Latin S1 -> Latin target'
+ WHEN s1_script = 'mixed' OR target_script = 'mixed' THEN 'mixed-script name' ELSE 'other (different non-Latin / no letters)' END"""
+
+
+@query(f"""{_DECIDED}, low AS (SELECT *, {_RELATION} AS script_relation FROM d WHERE label = 1 AND p = 0 AND name_ratio < 0.5)
+ SELECT script_relation, count(*) AS n, count(*) FILTER ({_BEST} < 0.5) AS best_below, round(avg(name_ratio), 6) AS mean_name, round(avg(translit_name_ratio), 6) AS mean_translit,
+ round(avg(CASE WHEN translit_name_ratio - name_ratio > 0.05 THEN 1 ELSE 0 END), 6) AS helps, round(avg(CASE WHEN translit_name_ratio - name_ratio < -0.05 THEN 1 ELSE 0 END), 6) AS worse,
+ round(avg(address_token_set_ratio), 6) AS mean_address, round(avg(target_address_missing), 6) AS address_missing, round(count(*) / sum(count(*)) OVER (), 6) AS pct FROM low GROUP BY script_relation""")
+def name_miss_report(spark, sf_dir):
+    rows, _ = _decided(spark, sf_dir)
+    got = errors.name_miss_report(rows.withColumn("script_relation", errors.script_relation(F.col("s1_script"), F.col("target_script"), F.col("other_scripts"))))
+    return got.select("script_relation", F.col("count").alias("n"), F.col("best_below_0_5").alias("best_below"), *(r6(F.col(a), b) for a, b in (
+        ("mean_name_ratio", "mean_name"), ("mean_translit_ratio", "mean_translit"), ("translit_helps", "helps"), ("translit_worse", "worse"), ("mean_address_token_set", "mean_address"), ("target_address_missing", "address_missing"), ("pct", "pct"))))
+
+
+@query(f"""{_DECIDED} SELECT CASE WHEN cross_script THEN 'cross-script' ELSE 'same script' END AS scripts, CASE WHEN translit_name_ratio < 0.6 THEN '0.5-0.6' WHEN translit_name_ratio < 0.7 THEN '0.6-0.7' WHEN translit_name_ratio < 0.8 THEN '0.7-0.8' ELSE '>=0.8' END AS translit_bucket,
+ count(*) AS candidates, CAST(sum(label) AS BIGINT) AS positives, CAST(sum(p) AS BIGINT) AS currently_predicted, count(*) FILTER (label = 1 AND p = 0) AS missed_positives, count(*) FILTER (label = 0 AND p = 1) AS false_positives, round(avg(label), 6) AS positive_rate
+ FROM d WHERE name_ratio < 0.5 AND translit_name_ratio >= 0.5 GROUP BY ALL""")
+def script_separability(spark, sf_dir):
+    return errors.separability(_decided(spark, sf_dir)[0]).withColumn("positive_rate", F.round("positive_rate", 6))
+
+
+@query("""SELECT doc_id, CASE WHEN ts <= 0 THEN 'not reachable (no shared indexed n-gram)' WHEN fc >= 0.5 AND ts < 0.5 * fc THEN 'index pruning (full cosine high, indexed score low)' WHEN nr >= 0.75 THEN 'crowded out (name ratio ≥ 0.75)'
+ WHEN nr < 0.5 THEN 'dissimilar name (name ratio < 0.50)' ELSE 'partly similar (0.50 ≤ ratio < 0.75)' END AS reason FROM (SELECT doc_id, doc_id % 11 / 10.0e0 AS ts, doc_id % 7 / 6.0e0 AS fc, doc_id % 13 / 12.0e0 AS nr FROM documents)""")
+def miss_reasons(spark, sf_dir):
+    part = lambda m, name: (F.col("doc_id") % m / float(m - 1)).alias(name)
+    rows = table(spark, sf_dir, "documents").select("doc_id", part(11, "true_score"), part(7, "full_cosine"), part(13, "name_ratio"))
+    return rows.select("doc_id", errors.miss_reason().alias("reason"))
+
+
+_UNLIKE = """SELECT n_nationkey AS k, lower(concat(n_name, ' ', r_name)) AS a, CASE n_nationkey % 7 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN '12 34 5' WHEN 3 THEN 'भारत टेक' WHEN 4 THEN concat(lower(substr(n_name, 1, 1)), lower(substr(r_name, 1, 1)))
+ WHEN 5 THEN 'abc' ELSE 'entirely other' END AS b FROM nation JOIN region ON n_regionkey = r_regionkey"""
+_INITIALS = "length(replace({0}, ' ', '')) >= 2 AND contains({1}, ' ') AND replace({0}, ' ', '') = array_to_string(list_transform(string_split({1}, ' '), lambda x: x[1]), '')"
+
+
+@query(rf"""SELECT k, CASE WHEN b IS NULL THEN 'unjoined_target' WHEN b = '' THEN 'missing_name' WHEN length(regexp_replace(b, '[^\p{{L}}]', '', 'g')) < greatest(2, length(replace(b, ' ', '')) // 2) THEN 'noisy_corrupted' WHEN regexp_matches(b, '[ऀ-ॿ]') THEN 'different_script'
+ WHEN {_INITIALS.format('b', 'a')} OR {_INITIALS.format('a', 'b')} THEN 'abbreviation' WHEN length(a) <= 3 OR length(b) <= 3 THEN 'other' ELSE 'translation_or_different' END AS category FROM ({_UNLIKE})""")
+def unlike_names(spark, sf_dir):
+    rows = spark.sql(_UNLIKE.replace("FROM nation JOIN region", "FROM {n} JOIN {r}"), n=table(spark, sf_dir, "nation"), r=table(spark, sf_dir, "region"))
+    rows = rows.withColumns({"as": T.dominant_script("a"), "bs": T.dominant_script("b"), "al": T.transliterate("a"), "bl": T.transliterate("b")})
+    return rows.select("k", errors.unlike_category("a", "a", "al", "as", "b", "b", "bl", "bs").alias("category"))
+
+
+@query(f"""{_DECIDED}, e AS (SELECT d.*, nt, sum(p) OVER (PARTITION BY s1_id) AS nb FROM d JOIN base USING (s1_id)), x AS (SELECT label, p, unnest([CASE WHEN target_script = 'latin' THEN 'Latin -> Latin' END, CASE WHEN target_script = 'non-latin' THEN 'Latin -> Indian-script' END,
+ CASE WHEN target_script <> 'latin' AND address_token_set_ratio >= 0.75 THEN 'cross-script & address token-set >= 0.75' END, CASE WHEN target_name_frequency = 1 THEN 'rare target name (frequency 1)' END, CASE WHEN target_address_missing = 1 THEN 'target address missing' END,
+ CASE WHEN {_CONFLICT} THEN 'conflicting address numbers' END, CASE WHEN nb = 1 THEN 'single-prediction S1 (base)' END, CASE WHEN nb >= 2 THEN 'multi-prediction S1 (base)' END, CASE WHEN nt = 0 THEN 'S1 with no true match' END]) AS segment FROM e)
+ SELECT segment, CAST(sum(label * p) AS BIGINT) AS tp, CAST(sum((1 - label) * p) AS BIGINT) AS fp, CAST(sum(label * (1 - p)) AS BIGINT) AS fn, round(sum(label * p) / nullif(sum(p), 0), 6) AS precision, round(sum(label * p) / nullif(sum(label), 0), 6) AS recall FROM x WHERE segment IS NOT NULL GROUP BY segment""")
+def decision_segments(spark, sf_dir):
+    from pyspark.sql import Window
+
+    rows, n = _decided(spark, sf_dir)
+    rows = rows.join(n, "s1_id").withColumn("n_base", F.sum("predicted").over(Window.partitionBy("s1_id")))
+    out = diagnostics.segments(rows, errors.decision_segments())
     return out.withColumn("precision", F.round("precision", 6)).withColumn("recall", F.round("recall", 6))
 
 
+@query(f"""{EV} SELECT * FROM (SELECT 'true, low score' AS kind, s1_id, target_source, target_id, round(score, 6) AS score FROM s WHERE label = 1 AND score < 0.1 ORDER BY s.score, s1_id, target_source, target_id LIMIT 10)
+ UNION ALL SELECT * FROM (SELECT 'false, high score', s1_id, target_source, target_id, round(score, 6) FROM s WHERE label = 0 AND score >= 0.991 ORDER BY s.score DESC, s1_id, target_source, target_id LIMIT 10)""")
+def example_pairs(spark, sf_dir):
+    return errors.examples(views.scored(spark, sf_dir), 0.991).withColumn("score", F.round("score", 6))
+
+
+@query(f"{EV} SELECT s1_id, target_source, target_id, round(score, 6) AS score, round(name_ratio, 6) AS name_ratio FROM s")
+def aligned_scores(spark, sf_dir):
+    keys = ["s1_id", "target_source", "target_id"]
+    rows = views.scored(spark, sf_dir)
+    return errors.aligned(rows.select(*keys, r6(F.col("score"), "score")), rows.select(*keys, r6(F.col("name_ratio"), "name_ratio")))
+
+
 @query(f"{EV} SELECT event_type, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM s GROUP BY ALL")
 def value_share(spark, sf_dir):
     return metrics.value_share(views.scored(spark, sf_dir), "event_type").withColumn("share", F.round("share", 6))
@@ -675,11 +814,27 @@ def folds_md5(spark, sf_dir):
     return splits.folds(table(spark, sf_dir, "orders").select("o_orderkey"), 5, 42, "o_orderkey")
 
 
-@query(f"{_MERGE} SELECT rule, CAST(0 AS BIGINT) AS n_bad FROM (VALUES ('duplicate pair'), ('unknown entity'), ('other country'), ('exact name differs'), ('exact name missed'), ('augmented core pair'), ('no channel')) v(rule)")
+# Candidate pairs with faults put in by id: repeated and unknown pairs, another country's, and wrong masks.
+_FAULTY = """SELECT s1_id, target_source, target_id, CASE WHEN s1_id % 5 = 0 THEN 0 WHEN s1_id % 7 = 0 THEN mask | 32 WHEN s1_id % 11 = 0 THEN mask & ~1 WHEN s1_id % 13 = 0 THEN mask | 1 WHEN s1_id % 17 = 0 THEN mask | 8
+  ELSE mask END AS mask FROM m UNION ALL SELECT s1_id, target_source, target_id, mask FROM m WHERE s1_id % 3 = 0 UNION ALL SELECT s1_id, target_source, target_id + 100000000, mask FROM m WHERE s1_id % 19 = 0
+ UNION ALL SELECT s1_id, 2, 0 + (SELECT min(id) FROM e WHERE source = 2 AND country = 'us'), 4 FROM m WHERE s1_id % 23 = 0"""
+
+
+@query(f"""{_MERGE}, f AS ({_FAULTY}), j AS (SELECT f.*, x.country AS ca, y.country AS cb, x.norm_name AS na, y.norm_name AS nb, x.house_city AS ha, y.house_city AS hb,
+  row_number() OVER (PARTITION BY s1_id, target_source, target_id ORDER BY mask) AS copies FROM f LEFT JOIN kk x ON x.source = 1 AND x.id = f.s1_id LEFT JOIN kk y ON y.source = f.target_source AND y.id = f.target_id),
+ exact AS ({_equal_sql('norm_name', None, 'kk')}), houses AS ({_equal_sql('house_city', 12, 'kk')})
+ SELECT 'unknown entity' AS rule, count(*) FILTER (ca IS NULL OR cb IS NULL) AS n_bad FROM j UNION ALL SELECT 'other country', count(*) FILTER (ca <> cb) FROM j UNION ALL SELECT 'exact name differs', count(*) FILTER (mask & 1 <> 0 AND (na <> nb OR na = '')) FROM j
+ UNION ALL SELECT 'house and city differ', count(*) FILTER (mask & 8 <> 0 AND (ha <> hb OR ha = '')) FROM j UNION ALL SELECT 'augmented core pair', count(*) FILTER (mask & 15 <> 0 AND mask & 112 <> 0) FROM j
+ UNION ALL SELECT 'no channel', count(*) FILTER (mask = 0) FROM j UNION ALL SELECT 'unknown channel', 0 UNION ALL SELECT 'duplicate pair', count(*) FILTER (copies > 1) FROM j
+ UNION ALL SELECT 'exact name missed', count(*) FROM exact WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.s1_id = exact.s1_id AND f.target_source = exact.target_source AND f.target_id = exact.target_id AND f.mask & 1 <> 0)
+ UNION ALL SELECT 'house and city missed', count(*) FROM houses WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.s1_id = houses.s1_id AND f.target_source = houses.target_source AND f.target_id = houses.target_id AND f.mask & 8 <> 0)""")
 def validate_candidates(spark, sf_dir):
-    rows = _keyed(spark, sf_dir)
-    out = diagnostics.validate(_merged(spark, sf_dir), rows.where("source = 1"), rows.where("source > 1"))
-    return out.where(~F.col("rule").contains(":"))
+    rows = tables.stored(_keyed(spark, sf_dir), "entities")
+    merged = tables.stored(_merged(spark, sf_dir), "merged")
+    faulty = spark.sql(_FAULTY.replace("FROM m", "FROM {m}").replace("FROM e", "FROM {e}"), m=merged, e=rows)
+    ranks = {f"{n}_rank": F.lit(None).cast("int") for n in diagnostics.RANKED} | {x: F.lit(None).cast("double") for x in diagnostics.RANKED.values() if x}
+    out = diagnostics.validate(faulty.withColumns(ranks), rows.where("source = 1"), rows.where("source > 1"), max_block=12)
+    return out.where(~F.col("rule").contains(":"))  # the ranked channels' rules are tested on ranks
 
 
 # --- models -----------------------------------------------------------------------------------------------------------
@@ -707,9 +862,14 @@ def second_stage(spark, sf_dir):
     return models.apply_second_stage(model, rows).select("s1_id", "target_id", r6(F.col("second_stage_prob"), "second_stage_prob"), "predicted")
 
 
-@query()
+@query(f"""{EV}, r AS (SELECT s1_id, label, score, {_CONTRA} AS against FROM s), nt AS (SELECT s1_id, sum(label) AS nt FROM s GROUP BY s1_id),
+ g AS (SELECT t, single, "only" FROM (SELECT unnest([{', '.join(f'{x}e0' for x in models.RULE_THRESHOLDS)}]) AS t) CROSS JOIN (SELECT unnest([{', '.join(f'{x}e0' for x in models.RULE_SINGLES)}]) AS single) CROSS JOIN (SELECT unnest([false, true]) AS "only") WHERE single > t),
+ o AS (SELECT t, single, "only", s1_id, count(*) AS n, sum(label) AS h, max(score) AS top, bool_or(against) AS against FROM r JOIN g ON score >= t GROUP BY ALL),
+ q AS (SELECT t, single, "only", s1_id, CASE WHEN n = 1 AND top < single AND (NOT "only" OR against) THEN 0 ELSE n END AS np, CASE WHEN n = 1 AND top < single AND (NOT "only" OR against) THEN 0 ELSE h END AS nh FROM o),
+ k AS (SELECT g.*, nt, coalesce(np, 0) AS np, coalesce(nh, 0) AS nh FROM g CROSS JOIN nt LEFT JOIN q ON q.t = g.t AND q.single = g.single AND q."only" = g."only" AND q.s1_id = nt.s1_id)
+ SELECT t, single, "only", round(avg({_F.format('np', 'nt', 'nh')}), 6) AS macro_f05 FROM k GROUP BY ALL""")
 def rule_grid(spark, sf_dir):
     rows = views.scored(spark, sf_dir)
     n = rows.groupBy("s1_id").agg(F.sum("label").alias("n_true"))
-    out: DataFrame = models.choose_rule(rows, n, [0.99, 0.995], [0.995, 0.998])
+    out: DataFrame = models.choose_rule(rows, n)
     return out.select("t", "single", "only", r6(F.col("macro_f05"), "macro_f05"))

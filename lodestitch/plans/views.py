@@ -28,7 +28,14 @@ SELECT user_id AS s1_id, CASE WHEN event_type IN ('click', 'view') THEN 2 ELSE 3
   CASE WHEN event_id % 9 = 0 THEN NULL ELSE event_id % 100 / 100.0e0 END AS address_token_set_ratio, value / 500 AS name_ratio,
   CASE WHEN event_id % 4 = 0 THEN NULL ELSE event_id % 3 / 2.0e0 END AS address_number_set_jaccard,
   event_id % 7 / 7.0e0 AS translit_skeleton_ratio, event_id % 50 + 1 AS target_name_frequency,
-  CASE WHEN event_id % 5 = 0 THEN NULL ELSE CAST(event_id % 2 AS INT) END AS house_number_match, CASE WHEN event_id % 17 = 0 THEN 1 ELSE 0 END AS target_address_missing
+  CASE WHEN event_id % 5 = 0 THEN NULL ELSE CAST(event_id % 2 AS INT) END AS house_number_match, CASE WHEN event_id % 17 = 0 THEN 1 ELSE 0 END AS target_address_missing,
+  CASE WHEN event_id % 8 = 0 THEN NULL ELSE event_id % 13 / 12.0e0 END AS translit_name_ratio, CASE WHEN event_id % 9 = 0 THEN NULL ELSE event_id % 21 / 20.0e0 END AS address_ratio,
+  CAST(event_id % 6 = 0 AS INT) AS name_exact, CASE WHEN event_id % 7 = 0 THEN NULL ELSE CAST(event_id % 3 = 0 AS INT) END AS house_city_match,
+  CASE WHEN event_id % 7 = 0 THEN NULL ELSE CAST(event_id % 4 <> 0 AS INT) END AS city_match, CAST(event_id % 5 = 0 AS INT) AS house_city_hit, CAST(event_id % 4 + 1 AS INT) AS n_channels,
+  CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(event_id % 100 AS INT) END AS name_char_rank, CASE WHEN event_id % 4 = 1 THEN NULL ELSE CAST(event_id % 25 AS INT) END AS address_char_rank,
+  CAST(event_id % 31 = 0 AS INT) AS target_name_missing, CAST(user_id % 19 = 0 AS INT) AS s1_address_missing, event_id % 6 = 1 AS cross_script,
+  CASE event_id % 5 WHEN 0 THEN 'non-latin' WHEN 1 THEN 'mixed' ELSE 'latin' END AS target_script, CASE event_id % 7 WHEN 0 THEN 'non-latin' WHEN 1 THEN 'none' ELSE 'latin' END AS s1_script,
+  event_id % 2 = 0 AS other_scripts
 FROM events
 """
 

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestitch.functions import address as A
-from lodestitch.operators import blocking, context, diagnostics, features, metrics, models, splits
+from lodestitch.operators import blocking, context, diagnostics, errors, features, metrics, models, splits
 from lodestitch.plans import catalogue, pipeline
 from lodestitch.sources import tables
 from lodestitch.streaming import link
@@ -144,16 +144,31 @@ def test_auc_and_summary(spark):
 
 
 def test_false_positive_ladder(spark):
-    base = dict(cross_script=False, name_ratio=0.3, translit_name_ratio=0.3, translit_skeleton_ratio=0.3, address_token_set_ratio=0.5, address_number_set_jaccard=None, target_name_frequency=1)
+    base = dict(cross_script=False, name_ratio=0.3, translit_name_ratio=0.3, translit_skeleton_ratio=0.3, address_token_set_ratio=0.5, address_number_set_jaccard=None, target_name_frequency=1, house_city_match=0)
     cases = [
-        ({"cross_script": True, "name_ratio": 0.05, "translit_skeleton_ratio": 0.9}, "transliteration collision"), ({"translit_skeleton_ratio": 0.9, "name_ratio": 0.5, "translit_name_ratio": 0.5}, "skeleton collision (Latin)"),
-        ({"name_ratio": 1.0, "address_token_set_ratio": 0.95, "address_number_set_jaccard": 1.0}, "near-duplicate record"), ({"address_token_set_ratio": 0.95, "address_number_set_jaccard": 0.5}, "address near-duplicate, numbers conflict"),
-        ({"name_ratio": 1.0, "address_token_set_ratio": 0.4, "target_name_frequency": 40}, "same name, weak address, common"), ({"name_ratio": 1.0, "address_token_set_ratio": None}, "same name, weak address, rare"),
-        ({"address_token_set_ratio": 0.95}, "same address, different name"), ({}, "other"),
+        ({"cross_script": True, "name_ratio": 0.05, "translit_skeleton_ratio": 0.7}, "transliteration collision (cross-script)"),
+        ({"translit_skeleton_ratio": 0.8, "name_ratio": 0.5, "translit_name_ratio": 0.69}, "skeleton collision (Latin, spelling differs)"),
+        ({"name_ratio": 1.0, "address_token_set_ratio": 0.95, "address_number_set_jaccard": 1.0}, "near-duplicate record: name & address ≥0.9, numbers agree"),
+        ({"name_ratio": 0.2, "translit_name_ratio": 0.9, "address_token_set_ratio": 0.9}, "near-duplicate record: name & address ≥0.9, numbers agree"),
+        ({"address_token_set_ratio": 0.95, "address_number_set_jaccard": 0.5}, "address near-duplicate, numbers conflict"),
+        ({"name_ratio": 1.0, "address_token_set_ratio": 0.74, "target_name_frequency": 40}, "same/near name, weak or missing address — common name (freq > 5)"),
+        ({"name_ratio": 1.0, "address_token_set_ratio": None}, "same/near name, weak or missing address — rare name (freq ≤ 5)"),
+        ({"address_token_set_ratio": 0.95}, "same/near address, different name"), ({"house_city_match": 1}, "house+city collision, weak name & address"),
+        ({"name_ratio": 0.75, "address_token_set_ratio": 0.8}, "partial evidence on both name and address"), ({}, "other"),
     ]
-    kind = "cross_script boolean, name_ratio double, translit_name_ratio double, translit_skeleton_ratio double, address_token_set_ratio double, address_number_set_jaccard double, target_name_frequency long, i int"
+    kind = "cross_script boolean, name_ratio double, translit_name_ratio double, translit_skeleton_ratio double, address_token_set_ratio double, address_number_set_jaccard double, target_name_frequency long, house_city_match int, i int"
     df = spark.createDataFrame([tuple((base | c).values()) + (i,) for i, (c, _) in enumerate(cases)], kind)
-    assert [r["x"] for r in df.orderBy("i").select(metrics.ladder(diagnostics.false_positive_rules()).alias("x")).collect()] == [w for _, w in cases]
+    assert [r["x"] for r in df.orderBy("i").select(metrics.ladder(errors.false_positive_rules()).alias("x")).collect()] == [w for _, w in cases]
+
+
+def test_alignment_and_thresholds(spark):
+    assert len(metrics.THRESHOLDS) == 39 and sorted(metrics.THRESHOLDS) == metrics.THRESHOLDS and metrics.THRESHOLDS[-1] == 0.99999
+    a = spark.createDataFrame([(1, 2, 3, 0.5), (1, 2, 4, 0.6)], "s1_id long, target_source int, target_id long, score double")
+    b = spark.createDataFrame([(1, 2, 3, 0.1), (1, 2, 4, 0.2)], "s1_id long, target_source int, target_id long, f double")
+    assert sorted((r["score"], r["f"]) for r in errors.aligned(a, b).collect()) == [(0.5, 0.1), (0.6, 0.2)]
+    for x, y, why in ((a, b.limit(1), "not aligned"), (a.limit(1), b, "not aligned"), (a.union(a), b, "one to one")):
+        with pytest.raises(Exception, match=why):
+            errors.aligned(x, y).collect()
 
 
 def test_f_beta_cases(spark):
