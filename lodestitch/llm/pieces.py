@@ -83,8 +83,9 @@ class DropoutEncoder:
         self.seen = np.zeros(1 << 20, bool)  # a filter of the hashes, before they are looked up
         for x, _ in self.hashes.values():
             self.seen[mix(x) >> np.uint64(44)] = True
-        self.ranks = np.full(n, np.inf)
-        self.ranks[list(self.id.values())] = [self.rank[p] for p in self.id]
+        levels = {r: k for k, r in enumerate(sorted(set(self.rank.values())))}
+        self.ranks = np.zeros(n, np.int64)  # places in the order of ranks
+        self.ranks[list(self.id.values())] = [levels[self.rank[p]] for p in self.id]
 
     def key(self, salt: int, place: int) -> int:
         """The hash key of the unit at a place of a text."""
@@ -236,7 +237,7 @@ class DropoutEncoder:
         at, size = np.nonzero(pieces[:, 2:] >= 0)
         size += 2
         who = owner[at]
-        order = np.lexsort((local[at], self.ranks[pieces[at, size]], who))
+        order = np.argsort((who << 32) | (self.ranks[pieces[at, size]] << 8) | local[at])  # places are under 64, ranks under 2**24
         at, size, who = at[order], size[order], who[order]
         bound = np.searchsorted(who, np.arange(len(units) + 1))
         lo, hi = local[at].astype(np.uint64), (local[at] + size).astype(np.uint64)
