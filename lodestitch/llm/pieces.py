@@ -6,8 +6,10 @@ import hashlib
 import re
 import zlib
 from array import array
+from collections import defaultdict
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from itertools import count as counter
 from operator import add
 
 import numpy as np
@@ -210,11 +212,11 @@ class DropoutEncoder:
 
     def encode_many(self, texts: list[str], salts: list[int]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit bytes, under its salt."""
-        index: dict[str, int] = {}
+        index: dict[str, int] = defaultdict(counter().__next__)  # units in the order in which they come first
         uids, count = array("i"), []
         for text in texts:
             own = self.units_of(text)
-            uids.extend([index.setdefault(u, len(index)) for u in own])
+            uids.extend(map(index.__getitem__, own))
             count.append(len(own))
         uid = np.frombuffer(uids, np.int32) if len(uids) else np.zeros(0, np.int32)
         count = np.array(count, np.int64)
@@ -246,7 +248,7 @@ class DropoutEncoder:
         draw = lo * np.uint64(_PLACE) + size.astype(np.uint64) * np.uint64(_SIZE)
         full = (one << (n.astype(np.uint64) + one)) - one
         plain, taken = self._worked(np.arange(len(units)), full, bound, ends, inner, draw, None)
-        left = plain[uid]
+        again, drawn = np.zeros(0, np.int64), np.zeros(0, np.uint64)
         if self.limit and taken:
             # the merges that make each unit's plain result: an occurrence that takes them all has it
             u, c = (np.concatenate(x) for x in zip(*taken, strict=True))
@@ -258,41 +260,40 @@ class DropoutEncoder:
             which = c[np.repeat(first[uid] - np.cumsum(merges) + merges, merges) + np.arange(merges.sum())]
             skip = mix(key[occ] + draw[which]) >> np.uint64(32) < np.uint64(self.limit)
             again = np.flatnonzero(np.bincount(occ[skip], minlength=len(uid)))
-            left[again] = self._worked(uid[again], full, bound, ends, inner, draw, key[again])[0]
-        # boundaries to ids: a piece from each boundary to the next, single characters that are none as their bytes
-        bits = np.unpackbits(np.ascontiguousarray(left).view(np.uint8).reshape(-1, 8), axis=1, count=int(n.max(initial=0)) + 1, bitorder="little")
-        bits[by_hand[uid]] = 0
+            drawn = self._worked(uid[again], full, bound, ends, inner, draw, key[again])[0]
+        # boundaries to ids, once a unit for plain results and once an occurrence for the others: a piece from each boundary to
+        # the next, single characters that are none as their bytes
+        of, state = np.concatenate([np.arange(len(units)), uid[again]]), np.concatenate([plain, drawn])
+        bits = np.unpackbits(state.view(np.uint8).reshape(-1, 8), axis=1, count=int(n.max(initial=0)) + 1, bitorder="little")
         row, pos = np.nonzero(bits)
         inside = np.flatnonzero(row[1:] == row[:-1])
         row, pos, size = row[inside], pos[inside], pos[inside + 1] - pos[inside]
-        char = start[uid[row]] + pos
+        char = start[of[row]] + pos
         ids = pieces[char, np.minimum(size, self.longest)]
         number = np.ones(len(ids), np.int64)
         lost = np.flatnonzero(ids < 0)
         spelled = {x: [self.byte[b] for b in chr(x).encode("utf-8", "surrogatepass")] for x in set(code[char[lost]].tolist())}
         number[lost] = [len(spelled[x]) for x in code[char[lost]].tolist()]
-        total = np.bincount(row, number, minlength=len(uid)).astype(np.int64)
+        held = np.bincount(row, number, minlength=len(of)).astype(np.int64)
+        flat, first = np.repeat(ids, number).astype(np.uint32), np.cumsum(number) - number
+        for k, x in zip(first[lost].tolist(), code[char[lost]].tolist(), strict=True):
+            flat[k : k + len(spelled[x])] = spelled[x]
+        # units by hand, one after the other, at the end
         hand = np.flatnonzero(by_hand[uid])
-        written: dict[int, list[int]] = {}
+        written = []
         for o in hand.tolist():
             unit = units[uid[o]]
-            written[o] = [self.byte[b] for b in SPACE.encode()] if unit == MARK else self.piece_ids(self.segment(unit, int(key[o])))
-            total[o] = len(written[o])
-        begin = np.concatenate([[0], np.cumsum(total)])
-        out = np.zeros(begin[-1], np.uint32)
-        # places of the ids of each row, one after the other
-        before = np.cumsum(number) - number
-        head = np.searchsorted(row, np.arange(len(uid)))
-        base = before[np.minimum(head, max(len(before) - 1, 0))] if len(before) else np.zeros(len(uid), np.int64)
-        spot = begin[row] + before - base[row]
-        good = ids >= 0
-        out[spot[good]] = ids[good]
-        for k in lost.tolist():
-            x = spelled[int(code[char[k]])]
-            out[spot[k] : spot[k] + len(x)] = x
-        for o, x in written.items():
-            out[begin[o] : begin[o + 1]] = x
-        stop = begin[np.cumsum(count)]
+            written.append([self.byte[b] for b in SPACE.encode()] if unit == MARK else self.piece_ids(self.segment(unit, int(key[o]))))
+        flat = np.concatenate([flat, *(np.array(x, np.uint32) for x in written)])
+        held = np.concatenate([held, np.fromiter(map(len, written), np.int64, len(written))])
+        # each occurrence's ids from where they are held
+        source = uid.astype(np.int64)
+        source[again] = len(units) + np.arange(len(again))
+        source[hand] = len(of) + np.arange(len(hand))
+        total = held[source]
+        stop = np.cumsum(total)
+        out = flat[np.repeat((np.cumsum(held) - held)[source] - stop + total, total) + np.arange(stop[-1])]
+        stop = np.append(0, stop)[np.cumsum(count)]
         return [out[a:e].tobytes() for a, e in zip([0, *stop[:-1].tolist()], stop.tolist(), strict=True)]
 
     def decode(self, ids: bytes | np.ndarray) -> str:
