@@ -314,7 +314,7 @@ def encoder(*args) -> DropoutEncoder:
 def _encoded(args: tuple, digests: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(*args)
-        for b in chunks(batches, most=500_000):
+        for b in chunks(batches, most=1_500_000):
             texts = b.column("text").to_pylist()
             ids = enc.encode_many([t or "" for t in texts], b.column("salt").to_pylist())
             if digests:
