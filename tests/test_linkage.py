@@ -294,3 +294,79 @@ def test_whole_queries_keep_large_blocks_and_all_channels(spark, tmp_path):
     assert bit(blocking.BITS["address_char"])
     scored = got("pair_scores")
     assert scored == set(mask)
+
+
+def _customers(spark, at, n=360):
+    """A customer and a nation table in which copies share names and addresses; what `views.ENTITIES` makes of them."""
+    kinds = ["BUILDING", "MACHINERY", "FURNITURE"]
+    spark.createDataFrame([(40 * 700 * (k % 4) + k // 4, kinds[k // 4 % 3], k // 4 % 2) for k in range(n)], "c_custkey long, c_mktsegment string, c_nationkey int").write.parquet(f"{at}/customer.parquet")
+    spark.createDataFrame([(0, 0), (1, 4)], "n_nationkey int, n_regionkey int").write.parquet(f"{at}/nation.parquet")
+    return [r.asDict() for r in catalogue.views.entities(spark, str(at)).collect()]
+
+
+def _best(rows, column, k, pool, max_df, sizes=(3, 3), binary=True, min_df=1):
+    """All queries against all targets, row by row: the oracle of blocking.tfidf_topk."""
+    import math
+    from collections import Counter
+
+    def grams(x):
+        words = [f" {w} " for w in x.split()]
+        every = Counter(w[i : i + n] for n in range(sizes[0], sizes[1] + 1) for w in words for i in range(max(len(w) - n + 1, 1)))
+        return {g: 1 for g in every} if binary else every
+
+    out = {}
+    for source, country in {(r["source"], r["country"]) for r in rows if r["source"] > 1}:
+        targets = [(r["id"], grams(r[column])) for r in rows if (r["source"], r["country"]) == (source, country)]
+        df = Counter(g for _, x in targets for g in x)
+
+        def unit(x, df=df, n=len(targets)):
+            w = {g: (math.log((1 + n) / (1 + df[g])) + 1) * (1 + math.log(c)) for g, c in x.items() if df[g] >= min_df}
+            size = math.sqrt(sum(v * v for v in w.values()))
+            return {g: v / size for g, v in w.items()}
+
+        targets = [(i, unit(x)) for i, x in targets]
+        for r in (r for r in rows if r["source"] == 1 and r["country"] == country):
+            v = unit(grams(r[column]))
+            dot = lambda w, cap, v=v, df=df: round(sum(x * w[g] for g, x in v.items() if g in w and (not cap or df[g] <= cap)), 9)
+            found = sorted((-p, i, w) for i, w in targets if (p := dot(w, max_df)) > 0)[: pool or k]
+            scored = sorted((-(dot(w, None) if pool else -p), p, i) for p, i, w in found)[:k]
+            out |= {(r["id"], source, i): round(-s, 6) for s, p, i in scored}
+    return out
+
+
+SEARCHES = {
+    "char_2_5_gram_knn": ("norm_name", 20, None, None, (2, 5), False, 2),
+}
+
+
+@pytest.mark.parametrize("name", SEARCHES)
+def test_searches_go_over_different_texts_and_give_all_copies(spark, tmp_path, monkeypatch, name):
+    rows = _customers(spark, tmp_path)
+    asked, search = [], blocking.topk.search
+    monkeypatch.setattr(blocking.topk, "search", lambda *a, **k: asked.append(search(*a, **k)) or asked[-1])
+    found = catalogue.QUERIES[name](spark, str(tmp_path)).collect()
+    got = {(r["s1_id"], r["target_source"], r["target_id"]): r["score"] for r in found}
+    want = _best(rows, *SEARCHES[name])
+    assert len(found) == len(got) and set(got) == set(want) and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+    column = SEARCHES[name][0]
+    texts = {(r["country"], r[column]) for r in rows if r["source"] == 1 and r[column]}
+    assert asked[0].count() == 2 * len(texts) < sum(r["source"] == 1 for r in rows)  # each text is searched once in each source
+
+
+def test_a_blocks_best_are_the_same_from_one_chunk_or_many():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    texts = [np.unique(rng.integers(0, 30, 8)) for _ in range(60)]
+    many = rng.integers(1, 6, 60)
+    ids = np.concatenate([np.sort(x) for x in np.split(rng.permutation(many.sum()), np.cumsum(many)[:-1])])
+    weights = blocking.topk._Weights(np.arange(30), np.bincount(np.concatenate([np.repeat(t, m) for t, m in zip(texts, many, strict=True)]), minlength=30), int(many.sum()), 1, 60)
+    lists = lambda x: (np.concatenate(x), None, np.array([len(y) for y in x]))
+    results = []
+    for step in (60, 7):
+        block = blocking.topk._Block(weights, *lists(texts[:20]), 25, True, False)
+        for i in range(0, 60, step):
+            first = many[:i].sum()
+            block.read(ids[first : first + many[i : i + step].sum()], many[i : i + step], *lists(texts[i : i + step]))
+        results.append(block.result(10).to_pylist())
+    assert results[0] == results[1] and {len(x) for x in results[0]} == {10}
