@@ -304,7 +304,7 @@ def _customers(spark, at, n=360):
     return [r.asDict() for r in catalogue.views.entities(spark, str(at)).collect()]
 
 
-def _best(rows, column, k, pool, max_df, sizes=(3, 3), binary=True, min_df=1):
+def _best(rows, column, k, pool, max_df, sizes=(3, 3), binary=True, min_df=0):
     """All queries against all targets, row by row: the oracle of blocking.tfidf_topk."""
     import math
     from collections import Counter
@@ -336,6 +336,7 @@ def _best(rows, column, k, pool, max_df, sizes=(3, 3), binary=True, min_df=1):
 
 SEARCHES = {
     "char_2_5_gram_knn": ("norm_name", 20, None, None, (2, 5), False, 2),
+    "tfidf_topk_address": ("norm_address", 5, 40, 300),
 }
 
 
