@@ -338,6 +338,7 @@ SEARCHES = {
     "char_2_5_gram_knn": ("norm_name", 20, None, None, (2, 5), False, 2),
     "tfidf_topk_address": ("norm_address", 5, 40, 300),
     "tfidf_topk_address_whole": ("norm_address", 25, 1000, 30_000),
+    "tfidf_topk_name": ("norm_name", 5, 20, None),
 }
 
 
