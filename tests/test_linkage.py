@@ -339,6 +339,7 @@ SEARCHES = {
     "tfidf_topk_address": ("norm_address", 5, 40, 300),
     "tfidf_topk_address_whole": ("norm_address", 25, 1000, 30_000),
     "tfidf_topk_name": ("norm_name", 5, 20, None),
+    "tfidf_topk_name_whole": ("norm_name", 100, 1000, 30_000),
 }
 
 
