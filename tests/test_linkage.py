@@ -374,3 +374,23 @@ def test_a_blocks_best_are_the_same_from_one_chunk_or_many():
             block.read(ids[first : first + many[i : i + step].sum()], many[i : i + step], *lists(texts[i : i + step]))
         results.append(block.result(10).to_pylist())
     assert results[0] == results[1] and {len(x) for x in results[0]} == {10}
+
+
+def test_rare_tokens_are_told_apart_by_text_and_give_all_copies(spark, tmp_path, monkeypatch):
+    rows = _customers(spark, tmp_path)
+    monkeypatch.setattr(blocking, "PART", 7)  # so that common texts come in parts
+    found = catalogue.QUERIES["token_index_rare_whole"](spark, str(tmp_path))
+    from collections import Counter
+
+    want = set()
+    for source, country in {(r["source"], r["country"]) for r in rows if r["source"] > 1}:
+        targets = [(r["id"], set(r["norm_name"].split())) for r in rows if (r["source"], r["country"]) == (source, country)]
+        n = Counter(w for _, x in targets for w in x)
+        for r in (r for r in rows if r["source"] == 1 and r["country"] == country):
+            rarest = set(sorted((w for w in set(r["norm_name"].split()) if n[w]), key=lambda w, n=n: (n[w], w))[:3])
+            want |= {(r["id"], source, i) for i, x in targets if x & rarest}
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 5000
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    last = plan[: plan.index("Aggregate [")]  # what comes after pairs are told apart
+    assert last.count("Generate explode") == 2  # ids are given out last, no pair of them is shuffled
