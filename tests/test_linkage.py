@@ -357,6 +357,21 @@ def test_searches_go_over_different_texts_and_give_all_copies(spark, tmp_path, m
     assert asked[0].count() == 2 * len(texts) < sum(r["source"] == 1 for r in rows)  # each text is searched once in each source
 
 
+@pytest.mark.parametrize("name", [n for n in SEARCHES if n.startswith("tfidf")])
+def test_searches_read_stored_texts_and_derive_nothing_else(spark, tmp_path, monkeypatch, name):
+    rows = _customers(spark, tmp_path)
+    column, kept, found = SEARCHES[name][0], [], []
+    stored, search = tables.stored, blocking.topk.search
+    monkeypatch.setattr(catalogue.tables, "stored", lambda x, what: pytest.fail("entities are derived for a search"))
+    monkeypatch.setattr(blocking.topk, "stored", lambda x, what: kept.append((what, stored(x, what))) or kept[-1][1], raising=False)
+    monkeypatch.setattr(blocking.topk, "search", lambda *a, **k: found.append(search(*a, **k)) or found[-1])
+    catalogue.QUERIES[name](spark, str(tmp_path))
+    plan = found[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "c_custkey" not in plan and "transform(" not in plan  # n-grams are made for the different texts, once
+    texts = lambda *by: len({tuple(r[c] for c in by) for r in rows if (r["source"] > 1) == ("source" in by)})
+    assert {what: x.count() for what, x in kept} == {"targets": texts("source", "country", column), "queries": texts("country", column)}
+
+
 def test_a_blocks_best_are_the_same_from_one_chunk_or_many():
     import numpy as np
 
