@@ -409,3 +409,28 @@ def test_rare_tokens_are_told_apart_by_text_and_give_all_copies(spark, tmp_path,
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     last = plan[: plan.index("Aggregate [")]  # what comes after pairs are told apart
     assert last.count("Generate explode") == 2  # ids are given out last, no pair of them is shuffled
+
+
+def _copied(spark, at):
+    """Customers of whom every three differ in nothing but their ids."""
+    spark.createDataFrame([(600600 * i + j, "BUILDING", j % 2) for i in range(3) for j in range(60)], "c_custkey long, c_mktsegment string, c_nationkey int").write.parquet(f"{at}/customer.parquet")
+    spark.createDataFrame([(0, 0), (1, 4)], "n_nationkey int, n_regionkey int").write.parquet(f"{at}/nation.parquet")
+
+
+def test_candidates_are_merged_once_for_equal_s1_and_given_out_to_all(spark, tmp_path, monkeypatch):
+    _copied(spark, tmp_path)
+    want = blocking.merge(blocking.channels(*catalogue._whole(spark, str(tmp_path)))).select(*blocking.PAIR, "mask").collect()
+    merged, merge = [], blocking.merge
+    monkeypatch.setattr(blocking, "merge", lambda x: merged.append(merge(x)) or merged[-1])
+    got = catalogue.QUERIES["merge_candidates_mask_whole"](spark, str(tmp_path)).select(*blocking.PAIR, "mask").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) > 1000
+    assert 3 * merged[0].count() == len(got)
+
+
+def test_copies_hold_every_id_and_tell_null_from_empty(spark, monkeypatch):
+    monkeypatch.setattr(blocking, "PART", 2)
+    rows = spark.createDataFrame([(1, None), (2, ""), (3, None), (4, "a"), (5, "a"), (6, "a"), (7, "a"), (8, "a")], "id long, norm_name string")
+    one, lists = blocking.copies(rows)
+    assert sorted(tuple(r) for r in one.collect()) == [(1, None), (2, ""), (4, "a")]
+    out = blocking.given_out(spark.createDataFrame([(1, 9), (2, 8), (4, 7)], "s1_id long, target_id long"), lists)
+    assert sorted(map(tuple, out.collect())) == [(1, 9), (2, 8), (3, 9), (4, 7), (5, 7), (6, 7), (7, 7), (8, 7)]
