@@ -434,3 +434,14 @@ def test_copies_hold_every_id_and_tell_null_from_empty(spark, monkeypatch):
     assert sorted(tuple(r) for r in one.collect()) == [(1, None), (2, ""), (4, "a")]
     out = blocking.given_out(spark.createDataFrame([(1, 9), (2, 8), (4, 7)], "s1_id long, target_id long"), lists)
     assert sorted(map(tuple, out.collect())) == [(1, 9), (2, 8), (3, 9), (4, 7), (5, 7), (6, 7), (7, 7), (8, 7)]
+
+
+def test_pairs_are_scored_once_for_equal_s1_with_the_texts_of_each_target(spark, tmp_path, monkeypatch):
+    _copied(spark, tmp_path)
+    made, make = [], features.pair_table
+    monkeypatch.setattr(features, "pair_table", lambda *a, **k: made.append(make(*a, **k)) or made[-1])
+    got = catalogue.QUERIES["pair_scores"](spark, str(tmp_path)).select(*blocking.PAIR, "ratio").collect()
+    rows = {(r["s1_id"], r["target_source"], r["target_id"]): (r["a_norm_name"], r["b_norm_name"], r["b_norm_address"]) for r in made[0].collect()}
+    given = {r["id"]: (r["norm_name"], r["norm_address"]) for r in catalogue.views.entities(spark, str(tmp_path)).collect()}
+    assert len(got) == len({tuple(r)[:3] for r in got}) == 3 * len(rows) > 1000
+    assert all(x == (given[s][0], *given[t]) for (s, _, t), x in rows.items())
