@@ -445,3 +445,39 @@ def test_pairs_are_scored_once_for_equal_s1_with_the_texts_of_each_target(spark,
     given = {r["id"]: (r["norm_name"], r["norm_address"]) for r in catalogue.views.entities(spark, str(tmp_path)).collect()}
     assert len(got) == len({tuple(r)[:3] for r in got}) == 3 * len(rows) > 1000
     assert all(x == (given[s][0], *given[t]) for (s, _, t), x in rows.items())
+
+
+def _by_content(spark, monkeypatch, cap):
+    """Small tables with copies, unlike names and empty texts, `cap` targets a block; all pairs kept and their features, pair by pair of ids."""
+    from lodestitch.operators import contents
+
+    names = [(c, n, a) for c, rows in (("us", US1), ("us", US2), ("france", FR1), ("france", FR2)) for _, n, a in rows] + [("us", "qqq", "12 main street springfield il"), ("us", "", ""), ("france", "zz", "75 rue brunet pessac")]
+    rows = [(1000 * o + 100 * copy + i, o, *x) for o in (1, 2, 3) for i, x in enumerate(names) for copy in range(1 + (i + o) % 3)]
+    every = spark.createDataFrame(rows, "id long, source int, country string, norm_name string, norm_address string").withColumn("truth_key", F.col("id"))
+    monkeypatch.setattr(catalogue.views, "sides", lambda *_: (every.where("source = 1"), every.where("source > 1")))
+    monkeypatch.setattr(catalogue.A, "learn_city_lexicon", lambda *_: spark.createDataFrame([("us", "springfield"), ("us", "portland")], "country string, token string"))
+    for m in (blocking, contents):
+        monkeypatch.setattr(m, "PART", 2)  # so that copies come in parts
+    monkeypatch.setitem(blocking.DEFAULTS, "max_block", cap)
+    a, t = catalogue._whole(spark, "")
+    kept = features.prefilter(features.pair_table(blocking.candidates(a, t), a, t))
+    return contents, [tuple(r) for r in features.features(kept).collect()]
+
+
+def _same_rows(got, want):
+    key = lambda r: r[:3]
+    assert len(got) == len(want) > 100
+    for x, y in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
+        assert all(p == q or (isinstance(p, float) and abs(p - q) < 1e-9) for p, q in zip(x, y, strict=True)), (x, y)
+
+
+def test_features_compare_different_texts_once_and_are_given_out_last(spark, monkeypatch):
+    contents, want = _by_content(spark, monkeypatch, 3)
+    kept, stored = {}, contents.stored
+    monkeypatch.setattr(contents, "stored", lambda x, what: kept.update({what: stored(x, what)}) or kept[what])
+    got = catalogue.QUERIES["pair_features"](spark, "")
+    assert got.columns[4:] == features.FEATURES
+    _same_rows([tuple(r) for r in got.select("s1_id", "target_source", "target_id", "country", *features.FEATURES).collect()], want)
+    for what, text in (("names", "name"), ("addresses", "address")):
+        pairs = [tuple(r) for r in kept[what].select(f"a_{text}", f"b_{text}").collect()]
+        assert len(pairs) == len(set(pairs)) < len(want) / 4, what  # classes of equal texts, each pair of them once
