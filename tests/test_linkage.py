@@ -481,3 +481,18 @@ def test_features_compare_different_texts_once_and_are_given_out_last(spark, mon
     for what, text in (("names", "name"), ("addresses", "address")):
         pairs = [tuple(r) for r in kept[what].select(f"a_{text}", f"b_{text}").collect()]
         assert len(pairs) == len(set(pairs)) < len(want) / 4, what  # classes of equal texts, each pair of them once
+
+
+def test_prefilter_looks_at_addresses_only_where_names_and_keys_do_not_decide(spark, monkeypatch):
+    contents, want = _by_content(spark, monkeypatch, 1000)
+    asked, scores = [], contents.S.pair_scores
+    monkeypatch.setattr(contents.S, "pair_scores", lambda a, b, names: asked.append((a, b)) or scores(a, b, names))
+    seen, strings = [], contents.Compared._strings
+    monkeypatch.setattr(contents.Compared, "_strings", lambda *x: seen.append((x[1], strings(*x))) or seen[-1][1])
+    got = [tuple(r) for r in catalogue.QUERIES["prefilter_keep"](spark, "").collect()]
+    _same_rows(got, [r[:3] for r in want])
+    assert [x for x, _ in seen] == ["name", "address"] and asked[-1][1] == "b_norm_address"
+    pairs = {(r["a_norm_address"], r["b_norm_address"]) for r in seen[1][1].collect()}
+    given = {r["id"]: (r["norm_name"], r["norm_address"]) for r in catalogue.views.sides()[0].unionByName(catalogue.views.sides()[1]).collect()}
+    alike = {(given[s][1], given[t][1]) for s, _, t in got if given[s][0] and given[s][0] == given[t][0]}
+    assert pairs and alike - pairs  # pairs of equal names alone aren't among those whose addresses are looked at
