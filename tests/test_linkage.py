@@ -496,3 +496,14 @@ def test_prefilter_looks_at_addresses_only_where_names_and_keys_do_not_decide(sp
     given = {r["id"]: (r["norm_name"], r["norm_address"]) for r in catalogue.views.sides()[0].unionByName(catalogue.views.sides()[1]).collect()}
     alike = {(given[s][1], given[t][1]) for s, _, t in got if given[s][0] and given[s][0] == given[t][0]}
     assert pairs and alike - pairs  # pairs of equal names alone aren't among those whose addresses are looked at
+
+
+@pytest.mark.parametrize("name", ["tfidf_topk_name", "tfidf_topk_name_whole"])
+def test_searches_of_names_are_dealt_before_texts_are_made_and_count_once(spark, tmp_path, monkeypatch, name):
+    rows = _customers(spark, tmp_path)
+    plan = catalogue.views.sides(spark, str(tmp_path))[1]._jdf.queryExecution().optimizedPlan().toString()
+    assert -1 < plan.find("concat(") < plan.find("RepartitionByExpression [c_custkey")
+    monkeypatch.setattr(type(spark.range(1)), "count", lambda x: pytest.fail("sizes are counted by a job of their own"))
+    got = {(r["s1_id"], r["target_source"], r["target_id"]): r["score"] for r in catalogue.QUERIES[name](spark, str(tmp_path)).collect()}
+    want = _best(rows, *SEARCHES[name])
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 2e-6 for k in want)
