@@ -357,6 +357,19 @@ def test_searches_go_over_different_texts_and_give_all_copies(spark, tmp_path, m
     assert asked[0].count() == 2 * len(texts) < sum(r["source"] == 1 for r in rows)  # each text is searched once in each source
 
 
+def test_search_of_addresses_drops_no_ngram_and_no_target(spark, tmp_path):
+    kinds = ["MACHINERY", "FURNITURE", "BUILDING", "BUILDING", "BUILDING"]
+    keys = [(k, i) for i in range(2100) if (k := 700 * i + 10 + i % 7 // 5) % 3 or i % 8 == 0]  # one country, nearly 700 targets a source, of few texts
+    spark.createDataFrame([(k, kinds[i % 5], i // 5 % 4 // 3) for k, i in keys], "c_custkey long, c_mktsegment string, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(0, 0), (1, 0)], "n_nationkey int, n_regionkey int").write.parquet(f"{tmp_path}/nation.parquet")
+    rows = [r.asDict() for r in catalogue.views.entities(spark, str(tmp_path)).collect()]
+    want, cut = _best(rows, "norm_address", 5, None, None), _best(rows, "norm_address", 5, 40, 300)
+    assert len(set(want) - set(cut)) > 10  # what n-grams in over 300 targets, and targets after the first 40, would lose
+    found = catalogue.QUERIES["tfidf_topk_address"](spark, str(tmp_path)).collect()
+    got = {(r["s1_id"], r["target_source"], r["target_id"]): r["score"] for r in found}
+    assert len(found) == len(got) and set(got) == set(want) and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+
+
 @pytest.mark.parametrize("name", [n for n in SEARCHES if n.startswith("tfidf")])
 def test_searches_read_stored_texts_and_derive_nothing_else(spark, tmp_path, monkeypatch, name):
     rows = _customers(spark, tmp_path)
@@ -391,6 +404,28 @@ def test_a_blocks_best_are_the_same_from_one_chunk_or_many():
     assert results[0] == results[1] and {len(x) for x in results[0]} == {10}
 
 
+@pytest.mark.parametrize("rescore", [False, True])
+def test_a_blocks_best_are_the_same_whichever_ngrams_are_summed_as_matrices(monkeypatch, rescore):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    often = rng.dirichlet(np.full(40, 0.4))
+    texts = [np.unique(rng.choice(40, 9, p=often)) for _ in range(300)]
+    many = rng.integers(1, 4, 300)
+    ids = np.concatenate([np.sort(x) for x in np.split(rng.permutation(many.sum()), np.cumsum(many)[:-1])])
+    weights = blocking.topk._Weights(np.arange(40), np.bincount(np.concatenate([np.repeat(t, m) for t, m in zip(texts, many, strict=True)]), minlength=40), int(many.sum()), 1, 200 if rescore else None)
+    lists = lambda x: (np.concatenate(x), None, np.array([len(y) for y in x]))
+    results = []
+    for times in (0, 6, 10_000):  # none, some, all
+        monkeypatch.setattr(blocking.topk, "OFTEN", times)
+        block = blocking.topk._Block(weights, *lists(texts[:100]), 7, rescore, False)
+        for i in range(0, 300, 150):
+            first = many[:i].sum()
+            block.read(ids[first : first + many[i : i + 150].sum()], many[i : i + 150], *lists(texts[i : i + 150]))
+        results.append(block.result(5).to_pylist())
+    assert results[0] == results[1] == results[2] and max(len(x) for x in results[0]) == 5
+
+
 def test_rare_tokens_are_told_apart_by_text_and_give_all_copies(spark, tmp_path, monkeypatch):
     rows = _customers(spark, tmp_path)
     monkeypatch.setattr(blocking, "PART", 7)  # so that common texts come in parts
